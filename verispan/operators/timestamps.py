@@ -24,10 +24,17 @@ MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug
 WEEKDAY = "(?:mon|tues?|wed(?:nes)?|thur?s?|fri|sat(?:ur)?|sun)(?:day)?"
 
 TAIL = (
-    r"^(?<d>[^:]*[^\s,t:])(?:\s*,\s*|\s+|t)(?<h>[0-9]{1,2})(?::(?<m>[0-9]{2})(?::(?<s>[0-9]{2})(?:[.,][0-9]+)?)?|(?<m2>[0-9]{2})(?<s2>[0-9]{2})(?:[.,][0-9]+)?)"
-    r"(?:\s*(?<p>[ap])\.?m\.?(?![a-z]))?\s*(?<z>z|[a-z]{2,4}|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2}|\[?[a-z]+(?:/[a-z0-9_+-]+)+\]?|\[[a-z]{1,4}\])?$"
+    r"(?i)^([^:]*[^\s,t:])(?:\s*,\s*|\s+|t)([0-9]{1,2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,][0-9]+)?)?|([0-9]{2})([0-9]{2})(?:[.,][0-9]+)?)"
+    r"(?:\s*([ap])\.?m\.?(?![a-z]))?\s*(z|[a-z]{2,4}|[+-][0-9]{2}:?[0-9]{2}|[+-][0-9]{2}|\[?[a-z]+(?:/[a-z0-9_+-]+)+\]?|\[[a-z]{1,4}\])?$"
 )
-"""A date, then a time of day with an optional zone; on lower-case text."""
+"""Groups: 1 date, 2 hour, 3 minute, 4 second, 5 and 6 compact minute and second, 7 a or p, 8 zone."""
+
+LAYOUTS = {
+    **{f"Y{c}n{c}n": "012" for c in "-/. "}, **{f"Y{c}n": "01" for c in "-/."}, "Y": "0", "C": "compact", "Y-j": "ordinal", "Yj": "ordinal",
+    **{f"n{c}n{c}Y": "feed" for c in "-/. "},
+    "n M Y": "1m0", "n-M-Y": "1m0", "nM Y": "1m0", "n M, Y": "1m0", "M n Y": "0m1", "M n, Y": "0m1", "Y M n": "ym1", "Y-M-n": "ym1", "M Y": "m0", "M, Y": "m0", "M-Y": "m0", "Y M": "m0", "Y-M": "m0",
+}
+"""Where year, month and day stand in a date of the given shape: n one or two digits, j three, Y four, C eight, M a month name."""
 
 
 def zone_names(spark: SparkSession) -> list[str]:
@@ -64,43 +71,54 @@ def _stamp(y: Column, m: Column, d: Column) -> Column:
     )
 
 
-def _date(text: Column, day_first: Column) -> Column:
-    """A date text in lower case without a time: its normal form or null."""
-
-    def part(pattern: str, *order: int):
-        got = [F.regexp_extract(text, pattern, i) for i in order]
-        return text.rlike(pattern), got
-
-    forms = []
-    c, (y, _, m, d) = part(r"^([0-9]{4})([-/. ])([0-9]{1,2})\2([0-9]{1,2})$", 1, 2, 3, 4)
-    forms.append((c, _stamp(_int(y), _int(m), _int(d))))
-    c, (y, m) = part(r"^([0-9]{4})[-/.]([0-9]{1,2})$", 1, 2)
-    forms.append((c, _stamp(_int(y), _int(m), F.lit(None).cast("int"))))
-    c, (y,) = part(r"^([0-9]{4})$", 1)
-    forms.append((c, _stamp(_int(y), F.lit(None).cast("int"), F.lit(None).cast("int"))))
-    c, (y, m, d) = part(r"^([0-9]{4})([0-9]{2})([0-9]{2})$", 1, 2, 3)
-    forms.append((c, _stamp(_int(y), _int(m), _int(d))))
-    c, (y, n) = part(r"^([0-9]{4})-?([0-9]{3})$", 1, 2)
-    first = F.when(_int(y).between(1, 9999), F.make_date(F.when(_int(y).between(1, 9999), _int(y)), F.lit(1), F.lit(1)))
-    day = F.date_add(first, F.when(_int(n).between(1, 366), _int(n)) - 1)
-    forms.append((c, F.when(F.year(day) == _int(y), day.cast("string"))))
-    c, (a, _, b, y) = part(r"^([0-9]{1,2})([-/. ])([0-9]{1,2})\2([0-9]{4})$", 1, 2, 3, 4)
-    d, m = F.when(day_first, _int(a)).otherwise(_int(b)), F.when(day_first, _int(b)).otherwise(_int(a))
-    forms.append((c & day_first.isNotNull(), _stamp(_int(y), m, d)))
-    c, (d, m, y) = part(rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?\.?[- ]+({MONTH})[-, ]+([0-9]{{4}})$", 1, 2, 3)
-    forms.append((c, _stamp(_int(y), _month(m), _int(d))))
-    c, (m, d, y) = part(rf"^({MONTH})[- ]+([0-9]{{1,2}})(?:st|nd|rd|th)?,?[- ]+([0-9]{{4}})$", 1, 2, 3)
-    forms.append((c, _stamp(_int(y), _month(m), _int(d))))
-    c, (y, m, d) = part(rf"^([0-9]{{4}})[-, ]+({MONTH})[- ]+([0-9]{{1,2}})$", 1, 2, 3)
-    forms.append((c, _stamp(_int(y), _month(m), _int(d))))
-    c, (m, y) = part(rf"^({MONTH})[-, ]+([0-9]{{4}})$", 1, 2)
-    forms.append((c, _stamp(_int(y), _month(m), F.lit(None).cast("int"))))
-    c, (y, m) = part(rf"^([0-9]{{4}})[-, ]+({MONTH})$", 1, 2)
-    forms.append((c, _stamp(_int(y), _month(m), F.lit(None).cast("int"))))
-    out = F.lit(None).cast("string")
-    for cond, value in reversed(forms):
-        out = F.when(cond, value).otherwise(out)
-    return out
+def _dated(df: DataFrame, text: str, day_first: str, out: str) -> DataFrame:
+    """``df`` with the normal form of the date ``text`` (no time of day) in the column ``out``."""
+    cols = df.columns
+    name = F.lower(F.regexp_extract(text, rf"(?i)(?<![a-z])({MONTH})(?![a-z])", 1))
+    df = df.withColumn("__month", F.when(name != "", _month(name)))
+    shape = F.regexp_replace(text, rf"(?i)(?<![a-z]){MONTH}(?![a-z])", "M")
+    shape = F.regexp_replace(shape, r"(?i)(?<![0-9])([0-9]{1,2})(?:st|nd|rd|th)(?![a-z])\.?|(?<![0-9])([0-9]{1,2})\.(?= M)", "$1$2")
+    for n, mark in (("8", "C"), ("7", "Yj"), ("4", "Y"), ("3", "j"), ("1,2", "n")):
+        shape = F.regexp_replace(shape, rf"(?<![0-9])[0-9]{{{n}}}(?![0-9])", mark)
+    layouts = F.create_map(*[F.lit(x) for kv in LAYOUTS.items() for x in kv])
+    df = df.withColumns({"__shape": shape, "__num": F.transform(F.regexp_extract_all(F.col(text), F.lit("[0-9]{1,8}"), F.lit(0)), lambda x: x.cast("int"))})
+    df = df.withColumn("__layout", F.try_element_at(layouts, F.col("__shape")))
+    n = lambda i: F.get("__num", F.lit(i))
+    is_ = lambda *x: F.col("__layout").isin(*x)
+    none = F.lit(None).cast("int")
+    eight = n(0)
+    seven = F.when(F.col("__shape") == "Yj", n(0))
+    year = (
+        F.when(is_("compact"), (eight / 10000).cast("int"))
+        .when(seven.isNotNull(), (seven / 1000).cast("int"))
+        .when(is_("feed"), n(2))
+        .when(is_("1m0", "0m1"), n(1))
+        .otherwise(n(0))
+    )
+    month = (
+        F.when(is_("compact"), (eight / 100).cast("int") % 100)
+        .when(is_("feed"), F.when(F.col(day_first), n(1)).when(~F.col(day_first), n(0)).otherwise(0))
+        .when(is_("1m0", "0m1", "ym1", "m0"), F.col("__month"))
+        .when(is_("012", "01"), n(1))
+        .otherwise(none)
+    )
+    day = (
+        F.when(is_("compact"), eight % 100)
+        .when(is_("feed"), F.when(F.col(day_first), n(0)).otherwise(n(1)))
+        .when(is_("1m0", "0m1"), n(0))
+        .when(is_("ym1"), n(1))
+        .when(is_("012"), n(2))
+        .otherwise(none)
+    )
+    df = df.withColumns({"__y": year, "__mo": month, "__d": day, "__j": F.when(seven.isNotNull(), seven % 1000).otherwise(n(1))})
+    first = F.when(F.col("__y").between(1, 9999), F.make_date(F.when(F.col("__y").between(1, 9999), F.col("__y")), F.lit(1), F.lit(1)))
+    at = F.date_add(first, F.when(F.col("__j").between(1, 366), F.col("__j")) - 1)
+    form = (
+        F.when(F.col("__layout").isNull(), F.lit(None).cast("string"))
+        .when(F.col("__layout") == "ordinal", F.when(F.year(at) == F.col("__y"), at.cast("string")))
+        .otherwise(_stamp(F.col("__y"), F.col("__mo"), F.col("__d")))
+    )
+    return df.select(*cols, form.alias(out))
 
 
 def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> DataFrame:
@@ -111,38 +129,38 @@ def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> Da
     first one and a skipped one takes the offset before the jump. Ten or thirteen digits are epoch
     seconds or milliseconds. Impossible dates, times, zones and any other text give null.
     """
-    zones = F.array(*[F.lit(z) for z in zone_names(distinct.sparkSession)])
+    zones = ",".join(f"'{z}'" for z in zone_names(distinct.sparkSession))
+    known = lambda c: F.expr(f"`{c}` in ({zones})")  # noqa: E731  (a set of some 600 literals)
     cols = distinct.columns
-    s = F.lower(F.regexp_replace(F.regexp_replace(F.col(text), r"[\s\p{Z}]+", " "), r"^[ ﻿]+| +$", ""))
-    df = distinct.withColumn("__s", F.regexp_replace(s, rf"^{WEEKDAY}\.?,? ", ""))
-    # group numbers of TAIL: 1 date, 2 hour, 3 minute, 4 second, 5 and 6 compact minute and second, 7 a or p, 8 zone
-    timed = F.col("__s").rlike(TAIL)
-    g = lambda i: F.regexp_extract("__s", TAIL, i)
-    df = df.withColumn("__timed", timed).withColumns(
-        {f"__g{i}": F.when(F.col("__timed"), g(i)) for i in range(1, 9)}
-    )
-    c = lambda i: F.col(f"__g{i}")
-    hour, pm = _int(c(2)), c(7)
-    hour = F.when(pm == "", hour).when(hour.between(1, 12), hour % 12 + F.when(pm == "p", 12).otherwise(0))
+    s = F.regexp_replace(F.regexp_replace(F.col(text), r"[\s\p{Z}]+", " "), r"^[ ﻿]+| +$", "")
+    df = distinct.withColumn("__s", F.regexp_replace(s, rf"(?i)^{WEEKDAY}\.?,? ", ""))
+    # one match cuts the text into its groups
+    cut = F.split(F.regexp_replace("__s", TAIL, "\x1f$1\x1f$2\x1f$3\x1f$4\x1f$5\x1f$6\x1f$7\x1f$8"), "\x1f")
+    df = df.withColumn("__g", cut).withColumn("__timed", F.size("__g") == 9)
+    c = lambda i: F.get("__g", F.lit(i))
+    df = df.withColumns({"__text": F.when(F.col("__timed"), F.trim(c(1))).otherwise(F.col("__s")), "__hour": _int(c(2)), "__pm": F.lower(c(7)), "__z": F.regexp_replace(c(8), r"[\[\]]", "")})
+    df = _dated(df, "__text", day_first, "__day")
+    hour = F.when(F.col("__pm") == "", F.col("__hour")).when(F.col("__hour").between(1, 12), F.col("__hour") % 12 + F.when(F.col("__pm") == "p", 12).otherwise(0))
     minute = F.when(c(3) != "", _int(c(3))).otherwise(_int(c(5)))
     second = F.when(c(4) != "", _int(c(4))).when(c(6) != "", _int(c(6))).otherwise(F.lit(0))
-    z = F.regexp_replace(c(8), r"[\[\]]", "")
-    abbr = F.create_map(*[F.lit(x) for k, v in ABBREVIATIONS.items() for x in (k.lower(), v)])
-    digits = F.regexp_extract(z, r"^([+-][0-9]{2}):?([0-9]{2})?$", 1)
-    tail = F.regexp_extract(z, r"^([+-][0-9]{2}):?([0-9]{2})?$", 2)
+    z = F.col("__z")
+    abbr = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
+    tail = F.substring(F.regexp_replace(z, ":", ""), 4, 2)
     offset = F.when(
-        (digits != "") & F.substring(digits, 2, 2).cast("int").between(0, 17) & (F.coalesce(F.when(tail != "", tail), F.lit("00")).cast("int") < 60),
-        F.concat(digits, F.lit(":"), F.when(tail == "", "00").otherwise(tail)),
+        (F.substring(z, 2, 2).cast("int") < 18) & (F.when(tail == "", "00").otherwise(tail).cast("int") < 60),
+        F.concat(F.substring(z, 1, 3), F.lit(":"), F.when(tail == "", "00").otherwise(tail)),
+    )
+    at = (
+        F.when(z == "", F.when(known(zone), F.col(zone)))
+        .when(z.rlike(r"^[+-]"), offset)
+        .when(z.contains("/"), F.when(known("__z"), z))
+        .otherwise(F.try_element_at(abbr, F.upper(z)))
     )
-    named = F.get(F.filter(zones, lambda n: F.lower(n) == z), F.lit(0))
-    own = F.when(F.array_contains(zones, F.col(zone)), F.col(zone))
-    at = F.when(z == "", own).when(z.rlike(r"^[+-]"), offset).otherwise(F.coalesce(F.try_element_at(abbr, z), F.when(z.contains("/"), named)))
-    df = df.withColumns({"__day": _date(F.when(F.col("__timed"), F.trim(c(1))).otherwise(F.col("__s")), F.col(day_first)), "__zone": at})
-    df = df.withColumns({"__h": hour, "__m": minute, "__x": second})
+    df = df.withColumns({"__zone": at, "__h": hour, "__m": minute, "__x": second})
     whole = (F.length("__day") == 10) & F.col("__h").between(0, 23) & F.col("__m").between(0, 59) & F.col("__x").between(0, 59) & F.col("__zone").isNotNull()
     two = lambda n: F.lpad(F.col(n).cast("string"), 2, "0")
-    wall = F.when(whole, F.concat_ws(" ", "__day", F.concat_ws(":", two("__h"), two("__m"), two("__x")))).cast("timestamp_ntz")
-    instant = F.convert_timezone(F.when(whole, F.col("__zone")), F.lit("UTC"), wall)
+    df = df.withColumn("__wall", F.when(F.col("__timed") & whole, F.concat_ws(" ", "__day", F.concat_ws(":", two("__h"), two("__m"), two("__x")))).cast("timestamp_ntz"))
+    instant = F.convert_timezone(F.when(F.col("__wall").isNotNull(), F.col("__zone")), F.lit("UTC"), F.col("__wall"))
     epoch = F.col("__s").rlike(r"^[0-9]{10}$|^[0-9]{13}$")
     seconds = F.when(epoch, F.substring("__s", 1, 10).cast("long"))
     from_epoch = F.timestamp_add("SECOND", (seconds % 86400).cast("int"), F.timestamp_add("DAY", (seconds / 86400).cast("int"), F.lit("1970-01-01").cast("timestamp_ntz")))
