@@ -1,0 +1,115 @@
+"""Queries of the text-corpus problems, and SQL where it can state the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verispan.llm import chunking, duplicates, leakage, mixing, names, representative, scans
+from verispan.session import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each copy of a record with the first record of its class."""
+    classes = duplicates.duplicate_classes(table(spark, d, "records"))
+    return classes.filter("rec_no <> class_key").select(F.col("class_key").alias("rec_no_a"), F.col("rec_no").alias("rec_no_b"))
+
+
+def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record class with the number of copies."""
+    return duplicates.duplicate_classes(table(spark, d, "records")).filter("rec_no = class_key").select("rec_no", "doi_key", "title_key", "copies")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return representative.with_trust(table(spark, d, "records"), table(spark, d, "feeds"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The record whose value survives, per pmid and field."""
+    out = representative.surviving_fields(_records(spark, d), F.col("identifiers")["pmid"], representative.usable_fields(), "trust_rank", "accessed_at", "rec_no")
+    return out.select(F.col("group_id").alias("pmid"), "field_name", F.col("key").alias("rec_no"))
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """One surviving record per pmid, built of the best value of each field."""
+    picked = p2_found(spark, d)
+    values = table(spark, d, "records").select("rec_no", "journal", "year", F.to_json("authors").alias("authors"), "doi")
+    rows = picked.join(values, "rec_no")
+    keep = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c))).alias(f)
+    return rows.groupBy("pmid").agg(*[keep(f, f) for f in ("journal", "year", "authors", "doi")])
+
+
+def p2_layers(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidate records lie on each dominance layer."""
+    out = representative.dominance_layers(_records(spark, d), F.col("identifiers")["pmid"], representative.usable_fields(), "trust_rank", "accessed_at", "rec_no")
+    return out.groupBy("layer").agg(F.count("*").alias("candidates"), F.countDistinct("group_id").alias("groups"))
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "records").select(F.explode("authors").alias("a")).select("a.affiliation_id", "a.family", "a.given")
+    return names.name_entities(people)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return names.spelling_pairs(_entities(spark, d)).withColumnRenamed("group_id", "affiliation_id")
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with its entity."""
+    return _entities(spark, d).withColumnRenamed("group_id", "affiliation_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Page furniture, broken words and misread words of scanned blocks."""
+    return scans.scan_noise(table(spark, d, "doc_blocks")).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+def p7_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks as repaired paragraphs in reading order."""
+    return scans.repaired_paragraphs(table(spark, d, "doc_blocks"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Verbatim and re-parameterised passages."""
+    return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of documents in the largest mix with the target shares."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of that mix."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_budgeted(spark: SparkSession, d: str) -> DataFrame:
+    """Reached shares for a given total, where small sources pass their shortage on."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens=4_000_000)[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents above the limit."""
+    return chunking.split_oversized(table(spark, d, "documents"), with_text=False).filter("piece_no = 0").select("doc_id")
+
+
+def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of documents above the limit."""
+    return chunking.split_oversized(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_collapsed, p2_found, p2_records, p2_layers, p4_found, p4_entities, p7_found, p7_paragraphs,
+        p8_found, p8_report, p9_mix, p9_shares, p9_budgeted, p10_found, p10_pieces,
+    )
+}
+SQL: dict[str, str] = {}
