@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verispan.plans import problems
+from verispan.plans import experiments, problems
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
-SQL: dict[str, str] = {**problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**experiments.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**experiments.SQL, **problems.SQL}
