@@ -69,17 +69,20 @@ def form_of(family: str | None, given: str | None) -> tuple[str, tuple[str, ...]
     if not given and re.fullmatch(r"[A-Z]{2,8}", family) and len(family) < 7:
         return "a", ("".join(sorted(family.lower())),), ()
     long, initials = [], []
-    for part, other in ((family, given), (given, family)):
-        # a comma, or a family field that holds the whole name, needs no rule: tokens have no role
-        for token in re.findall(r"[^\W_]+(?:[-'’‐][^\W_]+)*", part):
+    first, comma, rest = family.partition(",")
+    doubled = first if given or comma else ""  # a double family name may lack its hyphen
+    for part, other in ((doubled, given or rest), (rest if doubled else family, given), (given, family)):
+        tokens = re.findall(r"[^\W_]+(?:[-'’‐][^\W_]+)*", part)
+        if part and part is doubled and len(tokens) > 1 and all(len(t) > 2 for t in tokens):
+            tokens = ["-".join(tokens)]
+        for token in tokens:
             bare = re.sub(r"[-'’‐]", "", token)
-            caps = bare.isupper() and len(bare) <= 3 and not (part is given and len(bare) > 2)
-            word = plain(bare)
-            alone = len(re.findall(r"[^\W_]+", part)) == 1
+            word = "-".join(plain(x) for x in re.split(r"[-‐]", re.sub(r"['’]", "", token)))
+            pair = bare.isupper() and len(bare) == 2
             if len(word) == 1:
                 initials.append(word)
-            elif caps and len(bare) == 2 and ((part is given and not other.isupper()) or (part is family and not alone)):
-                initials += list(word)  # AS stands for A. S.
+            elif pair and ((part is given and not other.isupper()) or (part is not given and len(tokens) > 1) or (part is rest and comma)):
+                initials += list(word.replace("-", ""))  # AS stands for A. S.
             else:
                 long.append(word)
     if not long:
@@ -117,6 +120,13 @@ def token_score(a: str, b: str) -> float:
         return 1.0
     if full_names(a) & full_names(b):
         return 0.97
+    if ("-" in a) != ("-" in b):  # one half of a double name
+        whole, half = (a, b) if "-" in a else (b, a)
+        if any(len(x) > 3 and distance(x, half, 1) <= 1 for x in whole.split("-")):
+            return 0.9
+    a, b = a.replace("-", ""), b.replace("-", "")
+    if a == b:
+        return 1.0
     n = min(len(a), len(b))
     if n < 4:
         return 0.0
@@ -195,7 +205,7 @@ def bands_for(similar: float, rows: int, recall: float) -> int:
 
 def grams(token: str) -> np.ndarray:
     """The padded bigrams of a token as numbers."""
-    t = "\x02" + token + "\x03"
+    t = "\x02" + token.replace("-", "") + "\x03"
     return np.array([ord(a) * 0x110000 + ord(b) for a, b in zip(t, t[1:])], np.uint64)
 
 
