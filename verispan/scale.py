@@ -78,37 +78,41 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     """Join ``big`` to the unique rows of ``small`` on ``keys`` though a few keys may hold most rows of ``big``.
 
     The ``HOT_KEYS`` most frequent keys are found by a partial aggregate and are served by a
-    broadcast of at most ``HOT_KEYS`` rows; the rest is an ordinary shuffle join, in which no key
-    holds more than ``1 / HOT_KEYS`` of all rows. ``weight`` names a column of ``small`` that
-    already counts the rows of ``big`` per key, which saves the extra aggregate. Null keys match
-    null keys. ``how`` is ``left`` or ``inner``. Columns of ``small`` other than the keys are added.
+    broadcast of at most ``HOT_KEYS`` rows. In the shuffle join that serves the rest, rows already
+    served carry a salt instead of their key, so they spread evenly and match nothing, and no other
+    key holds more than ``1 / HOT_KEYS`` of all rows. ``big`` is read once besides the aggregate;
+    ``weight`` names a column of ``small`` that already counts the rows of ``big`` per key, which
+    saves that too. Null keys match null keys. ``how`` is ``left`` or ``inner``. Columns of
+    ``small`` other than the keys are added.
     """
     keys = list(keys)
     added = [c for c in small.columns if c not in keys and c != weight]
-    mark = "__hot"
+    names = [f"__k{i}" for i in range(len(keys))]
+    space = 1 << 62
 
-    def same(a: DataFrame, b: DataFrame) -> Column:
-        cond = F.lit(True)
-        for i, k in enumerate(keys):
-            cond = cond & a[k].eqNullSafe(b[f"__k{i}"])
-        return cond
+    def as_keys(df: DataFrame, *rest: Column) -> DataFrame:
+        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *rest)
 
-    def as_keys(df: DataFrame, rest: Sequence[str]) -> DataFrame:
-        return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *rest)
+    def same(a: DataFrame, an: Sequence[str], b: DataFrame, bn: Sequence[str]) -> Column:
+        cond = a[an[0]].eqNullSafe(b[bn[0]])
+        for x, y in zip(an[1:], bn[1:]):
+            cond = cond & a[x].eqNullSafe(b[y])
+        return cond
 
+    values = lambda tag: [F.col(c).alias(f"__{tag}_{c}") for c in added]
     if weight is not None:
-        hot = as_keys(small.orderBy(F.desc_nulls_last(weight), *keys).limit(HOT_KEYS), [*added, F.lit(True).alias(mark)])
+        hot = as_keys(small.orderBy(F.desc_nulls_last(weight), *keys).limit(HOT_KEYS), *values("hot"))
     else:
-        top = big.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(HOT_KEYS)
-        top = as_keys(top, [])
-        found = as_keys(small, added)
-        pairs = F.lit(True)
-        for i in range(len(keys)):
-            pairs = pairs & top[f"__k{i}"].eqNullSafe(found[f"__k{i}"])
-        hot = found.join(F.broadcast(top), pairs, "left_semi").withColumn(mark, F.lit(True))
-    warm = big.join(F.broadcast(hot), same(big, hot), "left")
-    served = warm.filter(F.col(mark)).select(*big.columns, *added)
-    cold = warm.filter(F.col(mark).isNull()).select(*big.columns)
-    rest = as_keys(small, added)
-    rest = cold.join(rest, same(cold, rest), how).select(*big.columns, *added)
-    return served.unionByName(rest)
+        top = as_keys(big.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(HOT_KEYS))
+        found = as_keys(small, *values("hot"))
+        hot = found.join(F.broadcast(top), same(found, names, top, names), "left_semi")
+    hot = hot.withColumn("__is_hot", F.lit(True))
+    warm = big.join(F.broadcast(hot), same(big, keys, hot, names), "left").drop(*names)
+    atoms = [c for c, t in big.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
+    salt = F.lit(-1) - F.pmod(F.xxhash64(F.spark_partition_id(), *atoms), F.lit(space))
+    warm = warm.withColumn("__at", F.when(F.col("__is_hot"), salt).otherwise(F.pmod(F.xxhash64(*keys), F.lit(space))))
+    rest = as_keys(small, *values("rest"), F.pmod(F.xxhash64(*keys), F.lit(space)).alias("__to"), F.lit(True).alias("__is_rest"))
+    out = warm.join(rest, (warm["__at"] == rest["__to"]) & same(warm, keys, rest, names), "left")
+    if how == "inner":
+        out = out.filter(F.col("__is_hot") | F.col("__is_rest"))
+    return out.select(*big.columns, *[F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in added])
