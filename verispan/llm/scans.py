@@ -51,7 +51,8 @@ def page_lines(blocks: DataFrame, source: str, ordinal: str, block: str, locator
         F.col(kind).alias("kind"),
         F.posexplode(F.split(original, "\r?\n", -1)).alias("i", "line"),
     )
-    return df.select("source_id", "paged", "page", "blk", "block_id", "kind", (F.col("i") + 1).alias("line_no"), "line").filter(F.trim("line") != "")
+    df = df.select("source_id", "paged", "page", "blk", "block_id", "kind", (F.col("i") + 1).alias("line_no"), "line")
+    return written(df.filter(F.trim("line") != ""), "page-lines")
 
 
 NUMBER_LINE = r"(?i)^[\[(\-–—|•.\s]*(?:page|p\.|pp\.|seite|pag\.)?\s*([0-9]{1,5})\s*[\])\-–—|•.\s]*(?:(?:/|of|von)\s*[0-9]{1,5}\s*)?$"
@@ -80,15 +81,15 @@ def furniture(lines: DataFrame) -> DataFrame:
     numbered = edge.filter("number is not null").withColumn("off", F.col("number") - F.col("page"))
     runs = numbered.groupBy("source_id", "off").agg(F.countDistinct("page").alias("pages"))
     best = runs.groupBy("source_id").agg(F.max(F.struct("pages", (-F.abs("off")).alias("o"), "off")).alias("b"), F.count("*").alias("offsets"))
-    best = best.select("source_id", F.col("b.off").alias("off"), F.col("b.pages").alias("run"), "offsets")
+    best = written(best.select("source_id", F.col("b.off").alias("off"), F.col("b.pages").alias("run"), "offsets"), "page-runs")
     # repetition of the same line: on other pages of the source, and at the edges of pages of other sources
     own = edge.filter("not is_number").groupBy("source_id", "side", "key").agg(F.countDistinct("page").alias("own_pages"))
     everywhere = all_keys.groupBy("key").agg(F.count("*").alias("everywhere"))
     # an edge line may be counted from both ends on short pages; by key it is one occurrence per line
     corpus = edge.filter("not is_number").groupBy("key").agg(F.count("*").alias("at_edges"), F.approx_count_distinct("source_id").alias("sources"))
-    corpus = corpus.join(everywhere, "key").withColumn("share", F.col("at_edges") / F.col("everywhere"))
-    edge = attach(edge, best, ["source_id"])
-    edge = attach(edge, own, ["source_id", "side", "key"])
+    corpus = written(corpus.join(everywhere, "key").withColumn("share", F.col("at_edges") / F.col("everywhere")), "edge-keys")
+    edge = written(attach(edge, best, ["source_id"]), "page-edges")
+    edge = written(attach(edge, own, ["source_id", "side", "key"]), "page-edges")
     edge = attach(edge, corpus.select("key", "share", "sources"), ["key"])
     runs_with = F.coalesce((F.col("number") - F.col("page")) == F.col("off"), F.lit(False))
     adorned = ~F.col("line").rlike(r"^[0-9]+$")
@@ -97,7 +98,7 @@ def furniture(lines: DataFrame) -> DataFrame:
     apart = F.coalesce(F.col("share") >= HEADINGS_SHARE, F.lit(False))
     sentence = F.col("line").rlike(r"[.,;:]$") & ~F.col("line").rlike(r"(?i)\bet al\.$")
     starts = F.col("line").rlike(r"^[^\p{Ll}]")
-    repeated = (F.col("own_pages") >= 2) & apart & starts
+    repeated = (F.col("own_pages") >= 2) & apart & starts & ~sentence
     common = (F.col("sources") >= 3) & apart & ~sentence & starts
     with_number = ~F.col("is_number") & runs_with & ((F.col("run") >= 2) | apart)
     authors = F.col("line").rlike(r"^\p{Lu}\S* et al\.$") & (F.least("up", "down") == 1)
@@ -123,7 +124,8 @@ def body_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
     inner = rest.filter(~(tops | ends)).withColumns({"turned": F.lit(None).cast("string"), "came": F.lit(None).cast("string")})
     outer = rest.filter(tops | ends).join(turned, ["source_id", "page"], "left").join(came, ["source_id", "page"], "left")
     out = inner.unionByName(outer)
-    return out.withColumns({"next": F.coalesce("next", F.when(broken, F.col("turned"))), "before": F.coalesce("before", "came")}).drop("turned", "came")
+    out = out.withColumns({"next": F.coalesce("next", F.when(broken, F.col("turned"))), "before": F.coalesce("before", "came")}).drop("turned", "came")
+    return written(out, "body-lines")
 
 
 def plain(word: Column) -> Column:
@@ -148,21 +150,22 @@ def repairs(body: DataFrame) -> DataFrame:
     vocab = words.withColumn("word", plain(F.col("found"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("found") != F.upper("found"), F.col("n")).otherwise(0)).alias("lower_n"))
     vocab = written(vocab.withColumn("fold", fold(F.col("word"))), "vocabulary")
     sound = vocab.filter(~F.col("word").rlike(r"\p{L}[0-9]|[0-9]\p{L}|[ﬁﬂ]"))
-    top = sound.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("top"))
+    top = written(sound.groupBy("fold").agg(F.max(F.struct("n", "word")).alias("top")), "folds")
     mixed = F.col("word").rlike(r"\p{L}[0-9]|[0-9]\p{L}|[ﬁﬂ]")
     bad = vocab.filter((F.col("lower_n") > 0) & ((F.length("word") > 2) | mixed)).join(top, "fold")
     bad = bad.filter((F.col("top.word") != F.col("word")) & (F.col("top.n") >= 3) & (F.col("top.n") >= F.when(mixed, 2).otherwise(RATIO) * F.col("n")))
-    bad = bad.select("word", F.col("top.word").alias("repaired"), "n")
+    bad = written(bad.select("word", F.col("top.word").alias("repaired"), "n"), "misread")
     chars = attach(tokens.filter(F.col("found") != F.upper("found")).withColumn("word", plain(F.col("found"))), bad, ["word"], "inner", weight="n")
     chars = chars.select("source_id", "block_id", "line_no", F.lit("char").alias("noise_kind"), "found", F.lit(None).cast("string").alias("second"), "repaired")
     # broken words: decided once per distinct pair of parts
     pairs = text.filter(is_broken).select("source_id", "block_id", "line_no", first.alias("found"), second.alias("second"), F.regexp_extract("line", rf"([{HYPHENS}])\s*$", 1).alias("mark"))
-    pairs = pairs.withColumns({"a": plain(F.col("found")), "b": plain(F.col("second")), "soft": F.col("mark") == "\u00ad"})
+    pairs = written(pairs.withColumns({"a": plain(F.col("found")), "b": plain(F.col("second")), "soft": F.col("mark") == "\u00ad"}), "broken")
     distinct = pairs.groupBy("a", "b", "soft").agg(F.count("*").alias("times"))
     forms = distinct.select("a", "b", "soft", "times", F.explode(F.array(F.struct(F.lit("joined").alias("form"), F.concat("a", "b").alias("w")), F.struct(F.lit("compound").alias("form"), F.concat_ws("-", "a", "b").alias("w")), F.struct(F.lit("last").alias("form"), F.regexp_extract("a", r"([^-]+)$", 1).alias("w")), F.struct(F.lit("second").alias("form"), F.regexp_extract("b", r"^([^-]+)", 1).alias("w")))).alias("f"))
     forms = forms.select("a", "b", "soft", "times", "f.form", "f.w", fold(F.col("f.w")).alias("fold"))
     exact = vocab.select(F.col("word").alias("w"), "n")
-    forms = attach(attach(forms, exact, ["w"]), top, ["fold"])
+    # distinct forms: no key is frequent here
+    forms = forms.join(exact, "w", "left").join(top, "fold", "left")
     near = F.when((F.col("form") != "last") & (F.col("form") != "second") & (F.col("top.n") >= RATIO * F.coalesce("n", F.lit(0))) & (F.col("top.n") >= 3), F.col("top.word"))
     forms = forms.withColumns({"spelled": F.coalesce(near, "w"), "seen": F.when(near.isNotNull(), F.col("top.n")).otherwise(F.coalesce("n", F.lit(0)))})
     pick = lambda form, c: F.max(F.when(F.col("form") == form, F.col(c)))
@@ -174,7 +177,7 @@ def repairs(body: DataFrame) -> DataFrame:
         .when(F.col("compound_seen") > F.col("joined_seen"), F.col("compound_spelled"))
         .otherwise(F.col("joined_spelled"))
     )
-    chosen = chosen.select("a", "b", "soft", "times", whole.alias("repaired"))
+    chosen = written(chosen.select("a", "b", "soft", "times", whole.alias("repaired")), "mended")
     hyphens = attach(pairs, chosen, ["a", "b", "soft"], "inner", weight="times")
     hyphens = hyphens.select("source_id", "block_id", "line_no", F.lit("hyphen").alias("noise_kind"), "found", "second", "repaired")
     return hyphens.unionByName(chars)
