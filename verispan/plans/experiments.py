@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verispan.functions.stats import normal_pvalue_sql, rounded, rounded_sql, t_pvalue_sql
 from verispan.operators import contrasts as C
-from verispan.operators import enrichment, qc
+from verispan.operators import enrichment, kernels, qc
 from verispan.operators import units as U
 from verispan.session import table
 
@@ -259,11 +259,52 @@ def signals_topk(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn").orderBy("q_value", "kind", "feature").limit(10)
 
 
+def rank_tests_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Mann-Whitney of treated against control with the exact distribution where it applies."""
+    return rounded(kernels.rank_tests(_units(spark, d), ["run_id", "feature"], "group_name", "treated", "control"), "u", "rank_biserial", "p_value")
+
+
+def signed_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Wilcoxon signed rank of treated minus control means of the features of a run."""
+    m = C.moments(_units(spark, d), ["run_id", "feature"], "group_name")
+    both = m.groupBy("run_id", "feature").agg(*[F.max(F.when(F.col("group_name") == g, F.col("mean"))).alias(g) for g in ("treated", "control")])
+    return rounded(kernels.signed_rank_tests(both.withColumn("d", F.round(F.col("treated") - F.col("control"), 9)), ["run_id"], "d"), "w", "p_value")
+
+
+def batch_adjusted_contrast(spark: SparkSession, d: str) -> DataFrame:
+    """Treated against control per feature over all runs, adjusted for the run as batch, with robust errors."""
+    out = C.bh_adjust(kernels.adjusted_contrast(_units(spark, d), ["feature"], "group_name", "treated", "control", "run_id"), [])
+    return rounded(out, "effect", "standard_error", "p_value", "q_value")
+
+
+def mixed_time_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes over time with random intercepts of units, per feature and group."""
+    units = U.technical_aggregate(table(spark, d, "observations"), ["feature", "group_name", "run_id", "unit", "time_h"])
+    units = units.withColumn("run_unit", F.concat_ws("/", "run_id", "unit"))
+    return rounded(kernels.mixed_trend(units, ["feature", "group_name"], "run_unit", "time_h"), "slope", "standard_error", "p_value")
+
+
+def count_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    """Items per part type and ship month, a complete count matrix, between two years' months."""
+    items = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    counts = items.filter(F.year("l_shipdate").isin(1994, 1996)).groupBy("p_brand", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("value"))
+    grid = counts.select("p_brand").distinct().crossJoin(F.broadcast(counts.select("month").distinct()))  # at most 24 months
+    full = grid.join(counts, ["p_brand", "month"], "left").fillna(0).withColumn("year", F.substring("month", 1, 4))
+    return rounded(kernels.count_contrasts(full, "p_brand", "month", "year", "1996", "1994"), "log2fc", "standard_error", "p_value", "dispersion")
+
+
+def contrast_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Welch contrasts with 95 % intervals."""
+    rows = C.welch(C.two_sided(_units(spark, d), ["run_id", "feature"], "group_name", CONTRASTS)).filter("status = 'tested'")
+    return rounded(kernels.with_interval(rows).select("run_id", "feature", "contrast", "effect", "ci_low", "ci_high"), "effect", "ci_low", "ci_high")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         contrast_welch_bh, technical_aggregation, detection_table, bh_all, leave_one_out_stability, qc_issues, qc_raw_counts, repeated_floor, batch_confounding, ratio_normalization, delta_ct,
         paired_t, mann_whitney, spearman_within_group, reversal_patterns, time_trend_slope, gene_set_enrichment, wide_to_long, table_profile, metadata_join_checks, signals_topk,
+        rank_tests_exact, signed_rank, batch_adjusted_contrast, mixed_time_trend, count_contrasts, contrast_intervals,
     )
 }
 SQL = {
