@@ -112,4 +112,23 @@ QUERIES = {
         p8_found, p8_report, p9_mix, p9_shares, p9_budgeted, p10_found, p10_pieces,
     )
 }
-SQL: dict[str, str] = {}
+_STATED = lambda x: rf"coalesce(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) not in ('', {', '.join(repr(v) for v in representative.STAND_INS)}), false)"
+_FURTHER = r"(?i)(^|[\s,;])(et\.?\s*al(ii|ia|\.)?|(and|&)?\s*(others|colleagues|coworkers|co-workers)|further authors)[\s.]*$|^[.…\s]+$"
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_WINDOWS = lambda key, t: f"select {key}, array_to_string(w[i:i + 11], ' ') as x from (select {key}, w, unnest(range(1, len(w) - 10)) as i from (select {key}, {_WORDS} as w from {t} where text is not null))"
+SQL = {
+    "p2_found": rf"""with r as (select identifiers['pmid'] as pmid, rec_no, coalesce(trust_rank, 4611686018427387904) as trust, accessed_at, {_STATED('journal')} as journal, coalesce(year between 1950 and 2026, false) as year,
+  coalesce(len(authors) > 0 and len(list_filter(authors, lambda a: not ({_STATED('a.family')} and not regexp_matches(a.family, '{_FURTHER}')))) = 0, false) as authors,
+  coalesce(regexp_matches(doi, '(^|[^0-9.])10\.[0-9]{{4,9}}(?:\.[0-9]+)*(?:/|%2[fF])\S*[\p{{L}}\p{{N}}]'), false) as doi from records left join feeds using (provider)),
+g as (select *, count(*) over (partition by pmid) as n from r where pmid is not null),
+u as (select pmid, n, rec_no, trust, accessed_at, unnest([{{'f': 'journal', 'ok': journal}}, {{'f': 'year', 'ok': year}}, {{'f': 'authors', 'ok': authors}}, {{'f': 'doi', 'ok': doi}}]) as x from g where n >= 2)
+select pmid, x.f as field_name, rec_no from u where x.ok qualify row_number() over (partition by pmid, x.f order by trust, accessed_at desc, rec_no) = 1""",
+    "p8_found": f"with d as ({_WINDOWS('doc_id', 'documents')}), e as ({_WINDOWS('item_id', 'eval_items')}) select distinct doc_id, item_id from d join e using (x)",
+    # only &amp; and &alpha; occur among the entities of these tables, and no compatibility forms
+    "p1_found": r"""with t as (select rec_no, case when doi is null and title is null then case when starts_with(raw_entry, '{') then coalesce(json_extract_string(raw_entry, '$.doi'), json_extract_string(raw_entry, '$.DOI')) else regexp_extract(raw_entry, '(?:^|\n)(?:DO  - |%R )([^\n]*)', 1) end else doi end as d,
+  case when doi is null and title is null then case when starts_with(raw_entry, '{') then json_extract_string(raw_entry, '$.title') else regexp_extract(raw_entry, '(?s)(?:^|\n)(?:TI  - |%T )(.*?)(?:\n(?:[A-Z][A-Z0-9]  - |%[A-Z0-9] )|$)', 1) end else title end as t from records),
+k as (select rec_no, regexp_replace(lower(regexp_extract(url_decode(d), '10\.[0-9]{4,9}(?:\.[0-9]+)*/[^\s\p{Z}]+')), '[.,;:!?''"`>]+$', '') as d,
+  regexp_replace(lower(nfc_normalize(replace(replace(regexp_replace(t, '</?[A-Za-z][^<>]*>', '', 'g'), '&amp;', '&'), '&alpha;', 'α'))), '[^\p{L}\p{N}]', '', 'g') as t from t),
+g as (select rec_no, min(rec_no) over (partition by d, t) as first from k where d <> '' and t <> '' and regexp_matches(d, '/.*[\p{L}\p{N}]'))
+select first as rec_no_a, rec_no as rec_no_b from g where first <> rec_no""",
+}
