@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+from verispan.scale import new_path
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers, once per application.
+
+    The archive is written to the folder that all executors share and added from there, so nothing
+    depends on where the workers start.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent).as_posix())
+        path = new_path(spark, "package") + "/verispan.zip"
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
+    return spark
+
 
 def local_session(cores: int = 8, memory: str = "6g", partitions: int = 8, app: str = "verispan") -> SparkSession:
     """A local session with UTC, adaptive execution and few shuffle partitions."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
