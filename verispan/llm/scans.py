@@ -22,6 +22,8 @@ CLASSES = ("oO0", "ilt1f!|", "s5", "g9q", "ec", "hb68", "z2", "a4")
 HYPHENS = "-\u2010\u00ad\u00ac"
 HEADINGS_SHARE = 0.6
 """A line belongs to the page edge if so large a part of its occurrences in the corpus is there."""
+PAGES_SHARE = 0.25
+"""A header of a source stands on at least so large a part of its pages; headers may alternate."""
 RATIO = 8
 """A word is misread if a confusable word is at least so many times as frequent."""
 WORD = rf"[\p{{L}}\p{{N}}]+(?:[-‐][\p{{L}}\p{{N}}]+)*"
@@ -89,7 +91,9 @@ def furniture(lines: DataFrame) -> DataFrame:
     corpus = edge.filter("not is_number").groupBy("key").agg(F.count("*").alias("at_edges"), F.approx_count_distinct("source_id").alias("sources"))
     corpus = written(corpus.join(everywhere, "key").withColumn("share", F.col("at_edges") / F.col("everywhere")), "edge-keys")
     edge = written(attach(edge, best, ["source_id"]), "page-edges")
-    edge = written(attach(edge, own, ["source_id", "side", "key"]), "page-edges")
+    own = attach(own, edge.groupBy("source_id").agg(F.countDistinct("page").alias("pages")), ["source_id"])
+    own = written(own.filter((F.col("own_pages") >= 2) & (F.col("own_pages") >= PAGES_SHARE * F.col("pages"))), "own-edges")
+    edge = written(attach(edge, own.select("source_id", "side", "key", "own_pages"), ["source_id", "side", "key"]), "page-edges")
     edge = attach(edge, corpus.select("key", "share", "sources"), ["key"])
     runs_with = F.coalesce((F.col("number") - F.col("page")) == F.col("off"), F.lit(False))
     adorned = ~F.col("line").rlike(r"^[0-9]+$")
@@ -98,8 +102,9 @@ def furniture(lines: DataFrame) -> DataFrame:
     apart = F.coalesce(F.col("share") >= HEADINGS_SHARE, F.lit(False))
     sentence = F.col("line").rlike(r"[.,;:]$") & ~F.col("line").rlike(r"(?i)\bet al\.$")
     starts = F.col("line").rlike(r"^[^\p{Ll}]")
-    repeated = (F.col("own_pages") >= 2) & apart & starts & ~sentence
-    common = (F.col("sources") >= 3) & apart & ~sentence & starts
+    repeated = F.col("own_pages").isNotNull() & apart & starts & ~sentence
+    titled = ~F.col("line").rlike(r"(^|\s)\p{Ll}{4}")  # a heading in capitals, as names of journals are
+    common = (F.col("sources") >= 3) & apart & ~sentence & starts & titled
     with_number = ~F.col("is_number") & runs_with & ((F.col("run") >= 2) | apart)
     authors = F.col("line").rlike(r"^\p{Lu}\S* et al\.$") & (F.least("up", "down") == 1)
     header = letters & (repeated | common | with_number | authors) & ~F.col("is_number")
