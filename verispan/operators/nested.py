@@ -157,12 +157,17 @@ def flatten(df: DataFrame, key: str, body: str = "body") -> Flat:
     return Flat(roots, objects.select("node_id", "attributes"), bridge)
 
 
-def descend(parents: DataFrame, flat: Flat, parent: str, branch: str, child: str, keep: dict[str, str]) -> DataFrame:
+def children(flat: Flat, branches: list[str], attributes: list[str]) -> DataFrame:
+    """The bridge rows of the branches with some attributes of the child: one join for all levels, kept as a table."""
+    edges = flat.bridge.filter(F.col("branch").isin(branches)).select("branch", F.col("parent_id").alias("__p"), F.col("child_id").alias("__c"))
+    nodes = flat.objects.select(F.col("node_id").alias("__n"), F.map_filter("attributes", lambda k, v: k.isin(attributes)).alias("__a"))
+    return written(edges.join(nodes, F.col("__c") == F.col("__n")).drop("__n"), "nested-children")
+
+
+def descend(parents: DataFrame, kids: DataFrame, parent: str, branch: str, child: str, keep: dict[str, str]) -> DataFrame:
     """The children of ``parents[parent]`` under ``branch``: their identity as ``child`` and attributes as named in ``keep``."""
-    edges = flat.bridge.filter(F.col("branch") == branch).select(F.col("parent_id").alias("__p"), F.col("child_id").alias("__c"))
-    nodes = flat.objects.select(F.col("node_id").alias("__n"), *[F.col("attributes")[a].alias(n) for a, n in keep.items()])
-    edges = edges.join(nodes, F.col("__c") == F.col("__n")).drop("__n")
-    return parents.join(edges, F.col(parent) == F.col("__p")).drop("__p").withColumnRenamed("__c", child)
+    edges = kids.filter(F.col("branch") == branch).select("__p", F.col("__c").alias(child), *[F.col("__a")[a].alias(n) for a, n in keep.items()])
+    return parents.join(edges, F.col(parent) == F.col("__p")).drop("__p")
 
 
 def branch_paths(flat: Flat, key: str) -> DataFrame:
@@ -172,15 +177,17 @@ def branch_paths(flat: Flat, key: str) -> DataFrame:
     """
     distinct = flat.roots.filter(F.col("root_id").isNotNull()).groupBy("root_id").agg(F.count("*").alias("copies"))
     base = distinct.select("root_id")
-    request = descend(base, flat, "root_id", "request", "request_id", {"path": "request_path"}).groupBy("root_id").agg(F.max("request_path").alias("request_path"))
-    response = descend(base, flat, "root_id", "response", "response_id", {})
-    record = descend(response, flat, "response_id", "records", "record_id", {"accession": "parent_key"})
-    gene = descend(record, flat, "record_id", "genes", "gene_id", {"symbol": "mid_key"})
-    xref = descend(gene, flat, "gene_id", "xrefs", "xref_id", {"db": "db", "id": "id"})
-    detail = descend(response, flat, "response_id", "details", "detail_id", {})
-    region = descend(detail, flat, "detail_id", "regions", "region_id", {"name": "parent_key"})
-    track = descend(region, flat, "region_id", "tracks", "track_id", {"track": "mid_key"})
-    hit = descend(track, flat, "track_id", "hits", "hit_id", {"hit": "child_key"})
+    levels = ["request", "response", "records", "genes", "xrefs", "details", "regions", "tracks", "hits"]
+    kids = children(flat, levels, ["path", "accession", "symbol", "db", "id", "name", "track", "hit"])
+    request = descend(base, kids, "root_id", "request", "request_id", {"path": "request_path"}).groupBy("root_id").agg(F.max("request_path").alias("request_path"))
+    response = descend(base, kids, "root_id", "response", "response_id", {})
+    record = descend(response, kids, "response_id", "records", "record_id", {"accession": "parent_key"})
+    gene = descend(record, kids, "record_id", "genes", "gene_id", {"symbol": "mid_key"})
+    xref = descend(gene, kids, "gene_id", "xrefs", "xref_id", {"db": "db", "id": "id"})
+    detail = descend(response, kids, "response_id", "details", "detail_id", {})
+    region = descend(detail, kids, "detail_id", "regions", "region_id", {"name": "parent_key"})
+    track = descend(region, kids, "region_id", "tracks", "track_id", {"track": "mid_key"})
+    hit = descend(track, kids, "track_id", "hits", "hit_id", {"hit": "child_key"})
     paths = xref.select("root_id", F.lit("records").alias("branch"), "parent_key", "mid_key", F.concat_ws(":", "db", "id").alias("child_key")).unionByName(
         hit.select("root_id", F.lit("details").alias("branch"), "parent_key", "mid_key", "child_key")
     )
