@@ -82,7 +82,7 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     served carry a salt instead of their key, so they spread evenly and match nothing, and no other
     key holds more than ``1 / HOT_KEYS`` of all rows. ``big`` is read once besides the aggregate;
     ``weight`` names a column of ``small`` that already counts the rows of ``big`` per key, which
-    saves that too. Null keys match null keys. ``how`` is ``left`` or ``inner``. Columns of
+    saves that too; then every key of ``big`` must be in ``small``. Null keys match null keys. ``how`` is ``left`` or ``inner``. Columns of
     ``small`` other than the keys are added.
     """
     keys = list(keys)
@@ -101,11 +101,15 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
 
     values = lambda tag: [F.col(c).alias(f"__{tag}_{c}") for c in added]
     if weight is not None:
-        hot = as_keys(small.orderBy(F.desc_nulls_last(weight), *keys).limit(HOT_KEYS), *values("hot"))
+        hot = as_keys(small.orderBy(F.desc_nulls_last(weight), *keys).limit(HOT_KEYS), *values("hot"), F.lit(True).alias("__matched"))
     else:
         top = as_keys(big.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(HOT_KEYS))
         found = as_keys(small, *values("hot"))
-        hot = found.join(F.broadcast(top), same(found, names, top, names), "left_semi")
+        found = found.join(F.broadcast(top), same(found, names, top, names), "left_semi").withColumn("__matched", F.lit(True))
+        others = [f"__f{i}" for i in range(len(keys))]
+        found = found.withColumnsRenamed(dict(zip(names, others)))
+        # also a frequent key without a counterpart must not meet in one task
+        hot = top.join(F.broadcast(found), same(top, names, found, others), "left").drop(*others)
     hot = hot.withColumn("__is_hot", F.lit(True))
     warm = big.join(F.broadcast(hot), same(big, keys, hot, names), "left").drop(*names)
     atoms = [c for c, t in big.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
@@ -114,5 +118,5 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
     rest = as_keys(small, *values("rest"), F.pmod(F.xxhash64(*keys), F.lit(space)).alias("__to"), F.lit(True).alias("__is_rest"))
     out = warm.join(rest, (warm["__at"] == rest["__to"]) & same(warm, keys, rest, names), "left")
     if how == "inner":
-        out = out.filter(F.col("__is_hot") | F.col("__is_rest"))
+        out = out.filter(F.coalesce("__matched", "__is_rest", F.lit(False)))
     return out.select(*big.columns, *[F.coalesce(f"__hot_{c}", f"__rest_{c}").alias(c) for c in added])
