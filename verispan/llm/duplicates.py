@@ -136,21 +136,19 @@ def duplicate_classes(df: DataFrame, key: str = "rec_no", doi: str = "doi", titl
         (F.col(raw) if raw else F.lit(None).cast("string")).alias("raw"),
     )
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("doi", "title", "raw")]
-    spell = spell.withColumn("raw_id", F.sha2(F.concat_ws("\x1f", *parts), 256))
-    distinct = spell.groupBy("raw_id").agg(
-        F.min("doi").alias("doi"), F.min("title").alias("title"), F.min("raw").alias("raw"), F.count("*").alias("copies"), F.min("__key").alias("first_key")
-    )
+    # 128 bits name a spelling where it need not be carried along
+    spell = spell.withColumn("raw_id", F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)))
+    distinct = spell.groupBy("raw_id", "doi", "title", "raw").agg(F.count("*").alias("copies"), F.min("__key").alias("first_key"))
     kind = dict(spell.dtypes)["__key"]
-    canon = written(
-        distinct.mapInPandas(_canonical, f"raw_id string, copies long, first_key {kind}, doi_key string, title_key string"), "duplicate-spellings"
-    )
-    present = canon.filter(F.col("doi_key").isNotNull() & F.col("title_key").isNotNull())
-    classes = present.groupBy("doi_key", "title_key").agg(F.min("first_key").alias("class_key"), F.sum("copies").alias("copies"), F.count("*").alias("spellings"))
-    named = attach(present.drop("copies"), classes, ["doi_key", "title_key"], "inner", weight="spellings").drop("first_key")
-    weights = canon.select("raw_id", F.col("copies").alias("__rows"))
-    named = canon.select("raw_id", F.col("doi_key").alias("__d"), F.col("title_key").alias("__t")).join(named, "raw_id", "left")
-    named = named.select("raw_id", F.coalesce("doi_key", "__d").alias("doi_key"), F.coalesce("title_key", "__t").alias("title_key"), "class_key", "copies").join(weights, "raw_id")
-    out = attach(spell.select("__key", "raw_id"), named, ["raw_id"], "left", weight="__rows")
+    canon = written(distinct.mapInPandas(_canonical, f"raw_id binary, copies long, first_key {kind}, doi_key string, title_key string"), "duplicate-spellings")
+    canon = canon.withColumnRenamed("copies", "rows_of")
+    is_present = F.col("doi_key").isNotNull() & F.col("title_key").isNotNull()
+    present = canon.filter(is_present)
+    classes = present.groupBy("doi_key", "title_key").agg(F.min("first_key").alias("class_key"), F.sum("rows_of").alias("copies"), F.count("*").alias("spellings"))
+    named = attach(present, classes, ["doi_key", "title_key"], "inner", weight="spellings")
+    alone = canon.filter(~is_present).withColumns({"class_key": F.lit(None).cast(kind), "copies": F.lit(None).cast("long")})
+    named = named.unionByName(alone).drop("first_key")
+    out = attach(spell.select("__key", "raw_id"), named, ["raw_id"], "left", weight="rows_of")
     return out.select(
         F.col("__key").alias(key), F.coalesce("class_key", "__key").alias("class_key"), F.coalesce("copies", F.lit(1)).alias("copies"), "doi_key", "title_key"
     )
