@@ -26,7 +26,7 @@ PAGES_SHARE = 0.25
 """A header of a source stands on at least so large a part of its pages; headers may alternate."""
 RATIO = 8
 """A word is misread if a confusable word is at least so many times as frequent."""
-WORD = rf"[\p{{L}}\p{{N}}]+(?:[-‐][\p{{L}}\p{{N}}]+)*"
+WORD = r"[\p{L}\p{N}]++(?:[-‐][\p{L}\p{N}]++)*+"
 
 
 def fold(text: Column) -> Column:
@@ -133,6 +133,11 @@ def body_lines(lines: DataFrame, noise: DataFrame) -> DataFrame:
     return written(out, "body-lines")
 
 
+def ends_broken(line: str) -> Column:
+    """Whether a line ends in a hyphen; spares most lines the search for the word before it."""
+    return F.coalesce(F.substring(F.rtrim(F.col(line), F.lit(" \t\x0b\f\r\n")), -1, 1).isin(list(HYPHENS)), F.lit(False))
+
+
 def plain(word: Column) -> Column:
     return F.translate(F.lower(word), "‐", "-")
 
@@ -141,12 +146,12 @@ def repairs(body: DataFrame) -> DataFrame:
     """``source_id, block_id, line_no, noise_kind, found, second, repaired`` of broken and misread words."""
     tail = rf"({WORD})[{HYPHENS}]\s*$"
     head = rf"^\s*({WORD})"
-    first = F.regexp_extract("line", tail, 1)
+    first = F.when(ends_broken("line"), F.regexp_extract("line", tail, 1)).otherwise("")
     second = F.when(first.rlike(r"\p{L}$"), F.regexp_extract("next", head, 1))
     text = body.filter(F.coalesce(F.col("kind"), F.lit("text")) != "table")
     is_broken = (first != "") & F.coalesce(second.rlike(r"^\p{L}"), F.lit(False))
     # the second part of a word broken on the line before is no word of this line
-    was = F.regexp_extract("before", tail, 1).rlike(r"\p{L}$") & F.regexp_extract("line", head, 1).rlike(r"^\p{L}")
+    was = F.when(ends_broken("before"), F.regexp_extract("before", tail, 1).rlike(r"\p{L}$") & F.regexp_extract("line", head, 1).rlike(r"^\p{L}"))
     own = F.when(is_broken, F.regexp_replace("line", tail, "")).otherwise(F.col("line"))
     own = F.when(F.coalesce(was, F.lit(False)), F.regexp_replace(own, head, "")).otherwise(own)
     tokens = text.select("source_id", "block_id", "line_no", F.explode(F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1))).alias("found"))
