@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from verispan.operators.contrasts import bh_adjust
 
+MOST_GENES = 1_000_000
+"""Bounds the one array of log factorials that is broadcast (8 MB)."""
+
 
 def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFrame:
     """Hypergeometric P(X >= overlap) per set; ``selected`` and ``universe`` have ``gene``, ``sets`` has ``term, gene``.
@@ -23,7 +26,10 @@ def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFra
     n, k = uni.count(), sel.count()
     logs = uni.sparkSession.range(1, n + 1).select("id", F.sum(F.log("id")).over(W.orderBy("id")).alias("f"))
     table = logs.agg(F.array_sort(F.collect_list(F.struct("id", "f"))).alias("t")).select(F.concat(F.array(F.lit(0.0)), F.transform("t", lambda x: x["f"])).alias("lf"))
-    rows = rows.withColumns({"selected_n": F.lit(k).cast("long"), "universe_n": F.lit(n).cast("long")}).crossJoin(F.broadcast(table)) if n <= 1_000_000 else _refuse(n)
+    if n > MOST_GENES:
+        raise ValueError(f"a universe of {n} genes is no gene universe")
+    rows = rows.withColumns({"selected_n": F.lit(k).cast("long"), "universe_n": F.lit(n).cast("long"), "one": F.lit(1)})
+    rows = rows.join(F.broadcast(table.withColumn("one", F.lit(1))), "one").drop("one")
     lf = lambda i: f"lf[cast({i} as int)]"
     choose = lambda a, b: f"({lf(a)} - {lf(b)} - {lf(f'({a}) - ({b})')})"
     top = "least(term_n, selected_n)"
@@ -32,6 +38,3 @@ def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFra
     out = rows.withColumn("p_value", p).drop("lf")
     return bh_adjust(out, [], "p_value")
 
-
-def _refuse(n: int):
-    raise ValueError(f"a universe of {n} genes is no gene universe")

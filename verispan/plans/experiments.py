@@ -288,7 +288,8 @@ def count_contrasts(spark: SparkSession, d: str) -> DataFrame:
     """Items per part type and ship month, a complete count matrix, between two years' months."""
     items = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     counts = items.filter(F.year("l_shipdate").isin(1994, 1996)).groupBy("p_brand", F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("value"))
-    grid = counts.select("p_brand").distinct().crossJoin(F.broadcast(counts.select("month").distinct()))  # at most 24 months
+    months = sorted(r.month for r in counts.select("month").distinct().collect())  # at most 24
+    grid = counts.select("p_brand").distinct().select("p_brand", F.explode(F.array(*[F.lit(m) for m in months])).alias("month"))
     full = grid.join(counts, ["p_brand", "month"], "left").fillna(0).withColumn("year", F.substring("month", 1, 4))
     return rounded(kernels.count_contrasts(full, "p_brand", "month", "year", "1996", "1994"), "log2fc", "standard_error", "p_value", "dispersion")
 
