@@ -2,6 +2,7 @@
 
 import html
 import json
+import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -112,6 +113,39 @@ def test_survivor_edges_and_layers(spark):
     assert layers[4] == layers[3] == 1 and layers[2] == 2 and layers[1] == 3 and layers[8] == 1
 
 
+@pytest.mark.parametrize("parts", [2, 7])
+def test_layers_of_all_records(spark, parts):
+    rng = random.Random(parts)
+    rows = [("big" if i % 3 else f"g{i % 40}", i, rng.choice([None, "n/a", "J"]), rng.choice([1900, 2020]), rng.choice([1, 2, 3, None]), rng.choice([None, *range(60)])) for i in range(900)]
+    rows += [(g, 10_000 + k, *rest) for g, k, *rest in rows[:50]] + [(None, 1, "J", 2020, 1, 1), ("single", 2, "J", 2020, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, k long, journal string, year int, trust int, t long").withColumns({"at": F.timestamp_seconds("t"), "authors": F.expr("array(named_struct('family', 'et al.'))"), "doi": F.lit("10.5555/x")})
+    groups = defaultdict(list)
+    for g, k, journal, year, trust, t in rows:
+        if g not in (None, "single"):
+            groups[g].append(((journal != "J") + (year == 1900), trust or 99, -t if t is not None else 99, k))
+    want = {}
+    for g, members in groups.items():
+        depth = {}
+        for p in sorted({m[:3] for m in members}):
+            depth[p] = 1 + max((n for o, n in depth.items() if all(x <= y for x, y in zip(o, p))), default=0)
+        want |= {m[3]: (len(members), depth[m[:3]]) for m in members}
+    usual = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = representative.dominance_layers(df, F.col("g"), representative.usable_fields(), "trust", "at", "k").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual[0])
+        spark.conf.set("spark.sql.adaptive.enabled", usual[1])
+    assert len(out) == len(want) and {r.key: (r.records, r.layer) for r in out} == want
+    assert representative.dominance_layers(df.limit(0), F.col("g"), representative.usable_fields(), "trust", "at", "k").collect() == []
+
+
+def test_layer_report_counts_every_record(spark, data):
+    sizes = Counter(r.identifiers["pmid"] for r in spark.read.parquet(f"{data}/records.parquet").collect() if r.identifiers and r.identifiers.get("pmid") is not None)
+    assert sum(r.candidates for r in queries.p2_layers(spark, data).collect()) == sum(n for n in sizes.values() if n > 1)
+
+
 def test_collapsed_counts(spark, data):
     n = Counter(r.copies for r in queries.p1_collapsed(spark, data).collect())
     assert sum(k * v for k, v in n.items()) == spark.read.parquet(f"{data}/records.parquet").count()

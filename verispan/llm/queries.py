@@ -41,8 +41,8 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_layers(spark: SparkSession, d: str) -> DataFrame:
     """How many candidate records lie on each dominance layer."""
-    out = representative.dominance_layers(_records(spark, d), F.col("identifiers")["pmid"], representative.usable_fields(), "trust_rank", "accessed_at", "rec_no")
-    return out.groupBy("layer").agg(F.count("*").alias("candidates"), F.countDistinct("group_id").alias("groups"))
+    out = representative.layered_points(_records(spark, d), F.col("identifiers")["pmid"], representative.usable_fields(), "trust_rank", "accessed_at")
+    return out.groupBy("layer").agg(F.sum("n").alias("candidates"), F.countDistinct("group_id").alias("groups"))
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:

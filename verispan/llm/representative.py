@@ -12,12 +12,15 @@ holds no usable value there is none in the group; the deeper layers are kept for
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.scale import attach
+from verispan.scale import attach, written
 
 # Texts that stand for a missing value, and names that stand for further authors.
 STAND_INS = (
@@ -80,24 +83,108 @@ def surviving_fields(df: DataFrame, group: Column, fields: Mapping[str, Column],
     return each.select("group_id", "field_name", pick["key"].alias("key"))
 
 
-def dominance_layers(df: DataFrame, group: Column, fields: Mapping[str, Column], trust: str, recency: str, key: str, least: int = 2) -> DataFrame:
-    """The cells of each group with their dominance layer over (number of usable fields, recency, trust).
+def chain_layers(lacks: Sequence[int], trusts: Sequence[int], top: dict[tuple[int, int], int]) -> list[int]:
+    """The layers of points sorted by (age, lack, trust); ``top`` holds the deepest layer so far of each (lack, trust).
 
-    A cell of layer 1 is dominated by none; the layer of another is one more than the deepest cell
-    that dominates it. Cells are bounded per group, so peeling is a fold over a short sorted array.
+    A point can only be dominated by an earlier one that neither lacks more nor is trusted less.
     """
-    groups = group_cells(df, group, fields, trust, recency, key).filter(F.col("records") >= least)
-    full = F.transform("cells", lambda c: F.struct((-F.bit_count(c["mask"])).alias("lack"), c["trust"].alias("trust"), c["age"].alias("age"), c["key"].alias("key"), F.lit(0).alias("layer")))
-    # sorted by (lack, trust, age) a cell can only be dominated by an earlier one
-    dominates = lambda o, c: (o["lack"] <= c["lack"]) & (o["trust"] <= c["trust"]) & (o["age"] <= c["age"]) & ((o["lack"] < c["lack"]) | (o["trust"] < c["trust"]) | (o["age"] < c["age"]))
-    start = F.expr("cast(array() as array<struct<lack:int,trust:bigint,age:bigint,key:bigint,layer:int>>)")
+    out = []
+    for at in zip(lacks, trusts):
+        top[at] = 1 + max((v for (lack, trust), v in top.items() if lack <= at[0] and trust <= at[1]), default=0)
+        out.append(top[at])
+    return out
+
+
+def chain_lengths(lacks: Sequence[int], trusts: Sequence[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The distinct (lack, trust) of sorted points, and the longest chain that starts at one and ends at another (0: none)."""
+    pairs = sorted(set(zip(lacks, trusts)))
+    place = {x: i for i, x in enumerate(pairs)}
+    below = [np.array([i for i, o in enumerate(pairs) if o[0] <= x[0] and o[1] <= x[1]]) for x in pairs]
+    longest = np.zeros((len(pairs), len(pairs)), dtype=np.int64)  # row: end, column: start
+    for x in zip(lacks, trusts):
+        i = place[x]
+        before = longest[below[i]].max(axis=0)
+        longest[i] = np.where(before > 0, before + 1, 0)
+        longest[i, i] = max(longest[i, i], 1)
+    return pairs, longest
+
+
+def pass_on(top: dict[tuple[int, int], int], pairs: list[tuple[int, int]], longest: np.ndarray) -> dict[tuple[int, int], int]:
+    """``top`` after the points that ``chain_lengths`` summed up."""
+    into = np.array([max((v for (lack, trust), v in top.items() if lack <= x[0] and trust <= x[1]), default=0) for x in pairs])
+    reached = np.where(longest > 0, longest + into, 0).max(axis=1)
+    return top | {x: max(int(n), top.get(x, 0)) for x, n in zip(pairs, reached)}
+
+
+def candidate_rows(df: DataFrame, group: Column, fields: Mapping[str, Column], trust: str, recency: str, *more: Column) -> DataFrame:
+    """``group_id, lack, trust, age`` of each record of a group; nulls count as oldest and least trusted."""
+    lack = F.lit(0)
+    for usable in fields.values():
+        lack = lack + F.when(usable, 0).otherwise(1)
+    at = F.coalesce(F.unix_micros(F.col(recency).cast("timestamp")), F.lit(-(2**62)))
+    rows = df.select(group.alias("group_id"), lack.alias("lack"), F.coalesce(F.col(trust).cast("long"), F.lit(2**62)).alias("trust"), (-at).alias("age"), *more)
+    return rows.filter(F.col("group_id").isNotNull())
+
+
+def layered_points(df: DataFrame, group: Column, fields: Mapping[str, Column], trust: str, recency: str, least: int = 2) -> DataFrame:
+    """``group_id, records, lack, trust, age, n, layer``: all records of groups of at least ``least``, exact ties as one row with their number ``n``.
+
+    The points are range-partitioned by group and age, so a group of any size is spread over parts
+    of consecutive ages. Only groups at the edges of a part can continue in another one: for these
+    each part sums up the chains through it, the driver passes the deepest layers on from part to
+    part (at most two groups a part), and every part then layers its own points. Cost grows with
+    the points times the distinct (lack, trust) of their group.
+    """
+    points = candidate_rows(df, group, fields, trust, recency).groupBy("group_id", "lack", "trust", "age").agg(F.count("*").alias("n"))
+    parts = written(points.repartitionByRange("group_id", "age").withColumn("part", F.spark_partition_id()), "layer-points")
+    kind = dict(parts.dtypes)["group_id"]
+    order = ["age", "lack", "trust"]
+    ends = sorted(tuple(r) for r in parts.groupBy("part").agg(F.min("group_id"), F.max("group_id")).collect())
+    cut = sorted({a[2] for a, b in zip(ends, ends[1:]) if a[2] == b[1]})
+
+    def sum_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        pairs, longest = chain_lengths(pdf["lack"].tolist(), pdf["trust"].tolist())
+        return pd.DataFrame({"group_id": [key[0]], "part": [key[1]], "n": [int(pdf["n"].sum())], "lacks": [[x[0] for x in pairs]], "trusts": [[x[1] for x in pairs]], "longest": [longest.ravel().tolist()]})
+
+    start: dict[tuple, dict[tuple[int, int], int]] = {}
+    size: dict = {}
+    if cut:
+        edge = F.broadcast(parts.sparkSession.createDataFrame([(x,) for x in cut], f"group_id {kind}"))
+        sums = parts.join(edge, "group_id", "left_semi").groupBy("group_id", "part").applyInPandas(sum_up, f"group_id {kind}, part int, n long, lacks array<int>, trusts array<long>, longest array<long>")
+        top: dict = defaultdict(dict)
+        for r in sorted(sums.collect(), key=lambda r: r["part"]):
+            g, pairs = r["group_id"], list(zip(r["lacks"], r["trusts"]))
+            start[g, r["part"]] = top[g]
+            size[g] = size.get(g, 0) + r["n"]
+            top[g] = pass_on(top[g], pairs, np.array(r["longest"]).reshape(len(pairs), len(pairs)))
+
+    def layer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["group_id", *order]).reset_index(drop=True)
+        pdf["records"] = pdf.groupby("group_id")["n"].transform("sum")
+        if size:
+            pdf["records"] = pdf["group_id"].map(size).fillna(pdf["records"]).astype("int64")
+        pdf = pdf[pdf["records"] >= least].reset_index(drop=True)
+        groups, lacks, trusts, layers = pdf["group_id"].tolist(), pdf["lack"].tolist(), pdf["trust"].tolist(), []
+        edges = [i for i in range(len(groups)) if i == 0 or groups[i] != groups[i - 1]]
+        for a, b in zip(edges, [*edges[1:], len(groups)]):
+            layers += chain_layers(lacks[a:b], trusts[a:b], dict(start.get((groups[a], key[0]), {})))
+        pdf["layer"] = pd.Series(layers, dtype="int32")
+        return pdf[["group_id", "records", "lack", "trust", "age", "n", "layer"]]
+
+    return parts.groupBy("part").applyInPandas(layer, f"group_id {kind}, records long, lack int, trust long, age long, n long, layer int")
 
-    def add(done: Column, c: Column) -> Column:
-        deepest = F.aggregate(F.filter(done, lambda o: dominates(o, c)), F.lit(0), lambda m, o: F.greatest(m, o["layer"]))
-        return F.concat(done, F.array(F.struct(c["lack"].alias("lack"), c["trust"].alias("trust"), c["age"].alias("age"), c["key"].cast("bigint").alias("key"), (deepest + 1).alias("layer"))))
 
-    layered = F.aggregate(F.array_sort(full), start, add)
-    return groups.select("group_id", "records", F.explode(layered).alias("c")).select("group_id", "records", F.col("c.key").alias("key"), F.col("c.layer").alias("layer"))
+def dominance_layers(df: DataFrame, group: Column, fields: Mapping[str, Column], trust: str, recency: str, key: str, least: int = 2) -> DataFrame:
+    """``group_id, records, key, layer``: each record with its dominance layer over (number of usable fields, recency, trust).
+
+    A record of layer 1 is dominated by none; the layer of another is one more than the deepest
+    record that dominates it. Exact ties share a layer; repeated rows count as records; a null group
+    id is no group; an empty table gives an empty result.
+    """
+    points = layered_points(df, group, fields, trust, recency, least)
+    rows = candidate_rows(df, group, fields, trust, recency, F.col(key).alias("key"))
+    return attach(rows, points.drop("n"), ["group_id", "lack", "trust", "age"], "inner").select("group_id", "records", "key", "layer")
 
 
 def with_trust(records: DataFrame, feeds: DataFrame, provider: str = "provider") -> DataFrame:
