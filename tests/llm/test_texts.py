@@ -151,6 +151,19 @@ def test_mix_of_nothing(spark):
     assert mix.collect() == [] and [r.tokens for r in shares.collect()] == [0]
 
 
+@needs_tokens
+def test_budget_follows_the_data(spark, data):
+    shares = queries.p9_budgeted(spark, data).collect()
+    room = {r.source: r.available_tokens * r.max_repeats for r in shares}
+    whole = sum(r.available_tokens for r in shares if r.max_repeats > 0 and r.target_share > 0)
+    assert whole - len(shares) <= sum(r.budget_tokens for r in shares) <= whole
+    short = [r for r in shares if r.target_share * whole > room[r.source] + 1]
+    assert short and all(r.budget_tokens >= room[r.source] - 1 for r in short)
+    assert any(r.budget_tokens > r.target_share * whole + 1 for r in shares)
+    uses = {r.source: r.t for r in queries.p9_budgeted_mix(spark, data).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert uses == {r.source: r.tokens for r in shares if r.tokens}
+
+
 def scan_fixture(spark):
     body = "The marker fell and the signal rose in all cells without any delay after treatment was given twice"
     rows = []

@@ -120,11 +120,13 @@ def mix_sources(
     language: str = "lang",
     seed: int = 7,
     tokens: str = DEFAULT,
+    of_available: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): one row per use of a text (``key, source, epoch, n_tokens``), and the shares reached.
 
-    ``total_tokens`` None: the largest total at which every source has its share. The prefix of the
-    last epoch ends before the text that would exceed the budget, so a source misses its budget by
+    ``total_tokens`` None: the largest total at which every source has its share; ``of_available``
+    sets the total as a multiple of the tokens of all texts that may be used. The prefix of the last
+    epoch ends before the text that would exceed the budget, so a source misses its budget by
     less than one text. ``shares`` has a row for each source of ``targets``.
 
     Defined cases: documents without a source, of a source without target, or with a null or empty
@@ -140,6 +142,10 @@ def mix_sources(
     leaves = aims.join(held, source, "left").join(source_tree(docs, source, domain, language), source, "left").limit(MOST_SOURCES + 1).collect()
     if len(leaves) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    if of_available is not None:
+        if total_tokens is not None:
+            raise ValueError("give total_tokens or of_available, not both")
+        total_tokens = int(of_available * sum(r["tokens"] or 0 for r in leaves if r["target_share"] > 0 and r["max_repeats"] > 0))
     budget = plan_budgets(
         [
             {"source": r[source], "domain": r["domain"], "language": r["language"], "share": r["target_share"], "capacity": (r["tokens"] or 0) * r["max_repeats"]}

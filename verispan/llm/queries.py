@@ -90,9 +90,19 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def _budgeted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix of as many tokens as there are, so that small sources are short at every size of the tables."""
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), of_available=1.0)
+
+
 def p9_budgeted(spark: SparkSession, d: str) -> DataFrame:
-    """Reached shares for a given total, where small sources pass their shortage on."""
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), total_tokens=4_000_000)[1]
+    """Reached shares of a mix of all available tokens, where small sources pass their shortage on."""
+    return _budgeted(spark, d)[1]
+
+
+def p9_budgeted_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of documents in that mix."""
+    return _budgeted(spark, d)[0]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +119,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_records, p2_layers, p4_found, p4_entities, p7_found, p7_paragraphs,
-        p8_found, p8_report, p9_mix, p9_shares, p9_budgeted, p10_found, p10_pieces,
+        p8_found, p8_report, p9_mix, p9_shares, p9_budgeted, p9_budgeted_mix, p10_found, p10_pieces,
     )
 }
 _STATED = lambda x: rf"coalesce(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) not in ('', {', '.join(repr(v) for v in representative.STAND_INS)}), false)"
