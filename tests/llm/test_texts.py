@@ -151,6 +151,26 @@ def test_mix_of_nothing(spark):
     assert mix.collect() == [] and [r.tokens for r in shares.collect()] == [0]
 
 
+def test_source_without_room_does_not_empty_the_mix():
+    leaf = lambda s, share, cap, domain="d", lang="en": {"source": s, "domain": domain, "language": lang, "share": share, "capacity": cap}
+    leaves = [leaf("a", 0.2, 0), leaf("b", 0.2, 100), leaf("c", 0.2, 1000, lang="de"), leaf("e", 0.4, 1000, "k"), leaf("z", 0.0, 50)]
+    assert mixing.plan_budgets(leaves, None) == pytest.approx({"a": 0, "b": 100, "c": 50, "e": 100, "z": 0})
+    lone = [leaf("a", 0.5, 0, None, None), leaf("b", 0.2, 100), leaf("c", 0.3, 90, "k")]
+    assert mixing.plan_budgets(lone, None) == pytest.approx({"a": 0, "b": 60, "c": 90})
+    assert mixing.plan_budgets([leaf("a", 1.0, 0)], None) == {"a": 0.0}
+
+
+@needs_tokens
+@pytest.mark.parametrize("cap", [0, None])
+def test_mix_without_room_in_one_source(spark, cap):
+    docs = spark.createDataFrame([(i, f"text number {i} of many", ("s1", "s2", "s3")[i % 3], "en", "k") for i in range(120)], "doc_id long, text string, source string, lang string, doc_kind string")
+    targets = spark.createDataFrame([("s1", 0.5, cap), ("s2", 0.25, 1), ("s3", 0.25, 2), ("s4", 0.0, 2)], "source string, target_share double, max_repeats int")
+    mix, shares = mixing.mix_sources(docs, targets)
+    got = {r.source: r.share for r in shares.collect()}
+    assert got["s1"] == got["s4"] == 0 and got["s2"] == pytest.approx(0.5, abs=0.05) and got["s3"] == pytest.approx(0.5, abs=0.05)
+    assert mix.filter("source = 's2'").count() >= 39
+
+
 @needs_tokens
 def test_budget_follows_the_data(spark, data):
     shares = queries.p9_budgeted(spark, data).collect()

@@ -42,16 +42,19 @@ def plan_budgets(leaves: list[Mapping], total: float | None) -> dict[str, float]
     """Token budgets of the sources.
 
     ``leaves`` have source, domain, language, share and capacity (tokens times the repeat cap).
-    Without ``total`` it is the largest total of which every source can hold its share. With a
-    total the budgets of full sources are capped and their shortage goes, by share, to siblings
-    under the same language and domain while these have room, then to the domain, then to all.
+    Without ``total`` it is the largest total of which every source with any capacity can hold its
+    share, where the share of sources without capacity has gone to others as below. With a total
+    the budgets of full sources are capped and their shortage goes, by share, to siblings under the
+    same language and domain while these have room, then to the domain, then to all.
     """
     live = [x for x in leaves if x["share"] > 0]
-    if not live:
+    if not any(x["capacity"] > 0 for x in live):
         return {x["source"]: 0.0 for x in leaves}
     whole = sum(x["share"] for x in live)
     if total is None:
-        total = min(x["capacity"] / (x["share"] / whole) for x in live)
+        scale = 1e9
+        passed = plan_budgets([x | {"capacity": float("inf") if x["capacity"] > 0 else 0.0} for x in live], scale)
+        total = min(x["capacity"] / (passed[x["source"]] / scale) for x in live if x["capacity"] > 0)
     budget = {x["source"]: 0.0 for x in leaves}
 
     def pour(group: list[Mapping], amount: float) -> float:
@@ -124,15 +127,15 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, shares): one row per use of a text (``key, source, epoch, n_tokens``), and the shares reached.
 
-    ``total_tokens`` None: the largest total at which every source has its share; ``of_available``
+    ``total_tokens`` None: the largest total at which every source that has room has its share; ``of_available``
     sets the total as a multiple of the tokens of all texts that may be used. The prefix of the last
     epoch ends before the text that would exceed the budget, so a source misses its budget by
     less than one text. ``shares`` has a row for each source of ``targets``.
 
     Defined cases: documents without a source, of a source without target, or with a null or empty
     text take no part; exact copies of a text count as one text; a target source without texts has
-    no room, so without a total nothing can be mixed and with one its share goes to others; a null
-    or negative repeat cap counts as 0; repeated targets are one (largest share and cap); empty
+    no room, so its share goes to others, with a total or without; a null or negative repeat cap
+    counts as 0, which leaves no room either; repeated targets are one (largest share and cap); empty
     tables give an empty mix.
     """
     spark = docs.sparkSession
