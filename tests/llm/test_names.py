@@ -50,6 +50,39 @@ def test_collision_curve():
     assert n > 50 and hits / n >= names.RECALL - 0.03
 
 
+def alter(rnd, t):
+    i = rnd.randrange(len(t) - 1)
+    kind = rnd.randrange(4)
+    x = rnd.choice("abcdefghiklmnoprstuvwz")
+    return (t[:i] + t[i + 1] + t[i] + t[i + 2 :], t[:i] + x + t[i + 1 :], t[:i] + t[i + 1 :], t[:i] + x + t[i:])[kind]
+
+
+def accepted_pairs():
+    """Pairs of tokens that token_score accepts, by edits and by one half of a double name, with their similarity."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(n))
+    for _ in range(6000):
+        t = word(rnd.randint(4, 15))
+        u = alter(rnd, t)
+        if len(t) > 8 and rnd.random() < 0.7:
+            u = alter(rnd, u)
+        yield t, u
+        whole = f"{word(rnd.randint(4, 40))}-{t}"
+        yield whole, rnd.choice([t, alter(rnd, t)])
+
+
+def test_every_accepted_pair_below_the_bands_meets():
+    low = found = 0
+    for t, u in accepted_pairs():
+        a, b = set(names.grams(t).tolist()), set(names.grams(u).tolist())
+        if t != u and names.token_score(t, u) > 0 and len(a & b) / len(a | b) < names.SIMILAR:
+            low += 1
+            found += bool((set(names.band_keys(t)) | names.near_keys(t)) & (set(names.band_keys(u)) | names.near_keys(u)))
+    assert low > 1000 and found == low
+    long = "".join(random.Random(4).choice("abcdefgh") for _ in range(5_000))
+    assert len(names.near_keys(long)) == 2 and names.near_keys(long) & names.near_keys(long[:70] + long[71:]) and names.near_keys("李") == set()
+
+
 def test_star_clusters_against_brute_force(spark):
     rnd = random.Random(2)
     names_ = [f"v{i:02d}" for i in range(40)]

@@ -2,7 +2,7 @@
 
 Distinct spellings are reduced to forms (case, accents, order and nicknames resolved), so formatting
 variants cost nothing further. Forms find each other by MinHash bands over the padded q-grams of
-their name tokens; candidates are verified token by token (Monge-Elkan with rules for initials,
+their name tokens, and by exact keys where one typo leaves few q-grams; candidates are verified token by token (Monge-Elkan with rules for initials,
 nicknames and conflicting names) and grouped by star clustering.
 """
 
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from verispan.scale import attach, spread, written
 
 ROWS = 2
 SIMILAR = 0.4
-"""Jaccard similarity of padded bigrams that two spellings of one token have at least (a typo in a short name)."""
+"""Jaccard similarity of padded bigrams from which the bands find two spellings of one token; below it ``near_keys`` do."""
 RECALL = 0.985
+LONG = 32
+"""Tokens of so many letters are found by their ends, shorter ones by their deletions."""
 
 # Short forms of given names, words of organisation names, their abbreviations, letters without a decomposition.
 NICKNAMES = {
@@ -225,6 +228,26 @@ def band_keys(token: str) -> list[int]:
     return [int(k) for k in key.view(np.int64)]
 
 
+def near_keys(token: str) -> set[int]:
+    """Keys that any two tokens share whose edits leave them less alike than ``SIMILAR``, whatever the bands do.
+
+    Tokens one edit or swap apart share the text after at most one deletion, two apart after at most
+    two; from 13 letters on two edits leave the bands enough. Both halves of a double name count as
+    tokens of one edit. Of a long token one edit leaves the first or the last letters as they are.
+    """
+    bare = token.replace("-", "")
+    texts = set()
+    for t in {bare, *(x for x in token.split("-") if len(x) > 3)}:
+        if 3 <= len(t) <= LONG + 1:
+            once = {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+            texts |= once
+            if t == bare and 9 <= len(t) <= 14:
+                texts |= {x[:i] + x[i + 1 :] for x in once for i in range(len(x))}
+        if len(t) >= LONG:
+            texts |= {"<" + t[:12], ">" + t[-12:]}
+    return {xxhash.xxh64_intdigest(x) - (1 << 63) for x in texts}
+
+
 FORM = "group_id string, spelling string, n long, form string, kind string, long array<string>, initials array<string>, acronym string"
 
 
@@ -243,7 +266,7 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each form under each band of each of its tokens, together with an initial of another token."""
+    """Each form under each band and near key of each of its tokens, together with an initial of another token."""
     for pdf in batches:
         rows = []
         for g, form, kind, long, initials, acronym in zip(pdf["group_id"], pdf["form"], pdf["kind"], pdf["long"], pdf["initials"], pdf["acronym"]):
@@ -257,7 +280,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i, t in enumerate(long):
                 rest = {n[0] for j, x in enumerate(long) if j != i for n in full_names(x)} | set(initials)
                 if rest and len(t) > 1:
-                    rows += [(g, form, k, r) for k in band_keys(t) for r in rest]
+                    rows += [(g, form, k, r) for k in {*band_keys(t), *near_keys(t)} for r in rest]
         yield pd.DataFrame(rows, columns=["group_id", "form", "band", "initial"])
 
 
