@@ -207,6 +207,15 @@ def test_dates_against_brute_force(spark, data):
     assert len(got) == len(want) and dict(got) == want
 
 
+def test_padded_dates(spark):
+    pad = " \t\n\u00a0" * 100
+    texts = [f"{pad}2020-02-29{pad}", f"24{pad}Dec.{pad}2020", f"2020-02-29{pad}x", "2020-02-29" + "x" * 300, pad]
+    df = spark.createDataFrame([(i, t, None, "p") for i, t in enumerate(texts)], "id long, txt string, parts array<array<int>>, provider string")
+    feeds = spark.createDataFrame([("p", "UTC", True)], "provider string, zone string, day_first boolean")
+    got = {r.id: r.normal_form for r in timestamps.normalise_dates(df, feeds, "id", "txt", "parts", "provider").collect()}
+    assert got == {0: "2020-02-29", 1: "2020-12-24", 2: None, 3: None, 4: None}
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", None])
 def test_date_edges(spark, zone, tmp_path):
     texts = ["2021-03-14 02:30", "2021-11-07 01:30", "2021-02-29", "2020-02-29", "2019-366", "24 Dec. 2020", "2021-06-01T10:00:00+99:00", "2021-06-01T10:00:00 Mars/Base",

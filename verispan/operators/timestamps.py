@@ -121,6 +121,11 @@ def _dated(df: DataFrame, text: str, day_first: str, out: str) -> DataFrame:
     return df.select(*cols, form.alias(out))
 
 
+def squeezed(text: Column) -> Column:
+    """``text`` with single blanks and none at its ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"[\s\p{Z}]+", " "), r"^[ ﻿]+| +$", "")
+
+
 def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> DataFrame:
     """``distinct`` with ``normal_form``: a UTC instant, a date as precise as given, or null.
 
@@ -132,8 +137,7 @@ def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> Da
     zones = ",".join(f"'{z}'" for z in zone_names(distinct.sparkSession))
     known = lambda c: F.expr(f"`{c}` in ({zones})")  # noqa: E731  (a set of some 600 literals)
     cols = distinct.columns
-    s = F.regexp_replace(F.regexp_replace(F.col(text), r"[\s\p{Z}]+", " "), r"^[ ﻿]+| +$", "")
-    df = distinct.withColumn("__s", F.regexp_replace(s, rf"(?i)^{WEEKDAY}\.?,? ", ""))
+    df = distinct.withColumn("__s", F.regexp_replace(squeezed(F.col(text)), rf"(?i)^{WEEKDAY}\.?,? ", ""))
     # one match cuts the text into its groups
     cut = F.split(F.regexp_replace("__s", TAIL, "\x1f$1\x1f$2\x1f$3\x1f$4\x1f$5\x1f$6\x1f$7\x1f$8"), "\x1f")
     df = df.withColumn("__g", cut).withColumn("__timed", F.size("__g") == 9)
@@ -197,7 +201,7 @@ def normalise_dates(df: DataFrame, feeds: DataFrame, key: str, text: str, parts:
     ``parts`` decides where it gives a date, else ``text``. ``dictionary`` is the path of the table
     of parsed texts that is kept between runs; by default a new one in the shared folder.
 
-    Defined cases: null, empty and very long texts have no form; a row of an unknown provider has
+    Defined cases: null and empty texts and those of more than 200 characters besides padding have no form; a row of an unknown provider has
     no zone and no day order, so only texts that need neither are read; repeated rows keep their
     own key; an empty table gives an empty result; other columns are ignored.
     """
@@ -206,8 +210,9 @@ def normalise_dates(df: DataFrame, feeds: DataFrame, key: str, text: str, parts:
     # few providers, each of which may hold a third of the rows: attach() serves them by a bounded broadcast
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("text"), parts_form(F.col(parts)).alias("__parts"), F.col(provider).alias(provider))
     rows = attach(rows, sources, [provider])
-    # texts longer than any date are no keys: they would only swell the dictionary
-    rows = rows.withColumn("text", F.when(F.col("__parts").isNull() & (F.length("text") <= 200), F.col("text")))
+    # texts longer than any date without their padding are no keys: they would only swell the dictionary
+    short = F.when(F.length("text") <= 200, F.col("text")).otherwise(squeezed(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("__parts").isNull(), short)).withColumn("text", F.when(F.length("text") <= 200, F.col("text")))
     keys = rows.filter(F.col("text").isNotNull()).groupBy("text", "zone", "day_first").agg(F.count("*").alias("n")).drop("n")
     known = extend_dictionary(keys, path)
     out = attach(rows.filter(F.col("text").isNotNull()), known, ["text", "zone", "day_first"]).select("__key", "normal_form")
