@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verispan.functions.stats import normal_pvalue, t_pvalue
-from verispan.scale import written
+from verispan.scale import attach, written
 
 FAMILY_BUCKETS = 1024
 
@@ -26,13 +26,14 @@ def bh_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", q: str =
     windows only run inside a bucket.
     """
     fam = list(family)
-    df = written(df, "fdr-family")  # read three times below; the tests themselves run once
-    df = df.withColumn("__b", F.when(F.col(p).isNotNull(), F.least(F.floor(F.pow(F.greatest(F.col(p), F.lit(0.0)), F.lit(0.25)) * FAMILY_BUCKETS), F.lit(FAMILY_BUCKETS - 1)).cast("int")))
+    df = written(df, "fdr-family")  # read twice below; the tests themselves run once
     live = df.filter(F.col(p).isNotNull())
-    inside = W.partitionBy(*fam, "__b").orderBy(p)
-    counts = live.groupBy(*fam, "__b").agg(F.count("*").alias("__n"))
+    # rank tests give many equal p; from here on a p is one row with its count
+    levels = live.groupBy(*fam, p).agg(F.count("*").alias("__n"))
+    levels = levels.withColumn("__b", F.least(F.floor(F.pow(F.greatest(F.col(p), F.lit(0.0)), F.lit(0.25)) * FAMILY_BUCKETS), F.lit(FAMILY_BUCKETS - 1)).cast("int"))
+    counts = levels.groupBy(*fam, "__b").agg(F.sum("__n").alias("__rows"))
     up = W.partitionBy(*fam).orderBy("__b")
-    counts = counts.withColumns({"__before": F.sum("__n").over(up) - F.col("__n"), "__m": F.sum("__n").over(W.partitionBy(*fam))})
+    counts = counts.withColumns({"__before": F.sum("__rows").over(up) - F.col("__rows"), "__m": F.sum("__rows").over(W.partitionBy(*fam))})
     key = [*fam, "__b"]
 
     def same(a: DataFrame, b: DataFrame) -> Column:
@@ -45,18 +46,18 @@ def bh_adjust(df: DataFrame, family: Sequence[str], p: str = "p_value", q: str =
         return x.select(*[F.col(k).alias(f"__k_{k}") for k in key], *cols)
 
     c = keyed(counts, "__before", "__m")
-    live = live.join(c, same(live, c)).drop(*[f"__k_{k}" for k in key])
-    # equal p share the highest rank, which the reverse minimum would give them anyway
-    live = live.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__before") + F.count("*").over(inside.rangeBetween(W.unboundedPreceding, 0))))
-    lows = live.groupBy(*key).agg(F.min("__raw").alias("__low"))
+    levels = levels.join(c, same(levels, c)).drop(*[f"__k_{k}" for k in key])
+    inside = W.partitionBy(*key).orderBy(p)
+    levels = levels.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__before") + F.sum("__n").over(inside)))
+    lows = levels.groupBy(*key).agg(F.min("__raw").alias("__low"))
     down = W.partitionBy(*fam).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
     lows = keyed(lows.withColumn("__later", F.min("__low").over(down)), "__later")
-    live = live.join(lows, same(live, lows)).drop(*[f"__k_{k}" for k in key])
-    back = W.partitionBy(*fam, "__b").orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)
-    live = live.withColumns({q: F.least(F.lit(1.0), F.min("__raw").over(back), F.col("__later")), tests: F.col("__m")})
+    levels = levels.join(lows, same(levels, lows)).drop(*[f"__k_{k}" for k in key])
+    back = W.partitionBy(*key).orderBy(F.desc(p))
+    levels = levels.select(*fam, p, "__n", F.least(F.lit(1.0), F.min("__raw").over(back), F.col("__later")).alias(q), F.col("__m").alias(tests))
+    out = [*df.columns, q, tests]
     rest = df.filter(F.col(p).isNull()).withColumns({q: F.lit(None).cast("double"), tests: F.lit(None).cast("long")})
-    out = [*[x for x in df.columns if x != "__b"], q, tests]
-    return live.select(*out).unionByName(rest.select(*out))
+    return attach(live, levels, [*fam, p], "inner", weight="__n").select(*out).unionByName(rest.select(*out))
 
 
 def moments(units: DataFrame, strata: Sequence[str], group: str, value: str = "value") -> DataFrame:
@@ -88,7 +89,7 @@ def welch(pairs: DataFrame, min_n: int = 3, blocked: bool = False) -> DataFrame:
     status = F.when(F.lit(blocked), "qc_blocked").when(small, "descriptive_small_n").when(flat, "not_estimable").otherwise("tested")
     df = pairs.withColumns({"effect": F.col("mean_test") - F.col("mean_reference"), "status": status})
     ok = F.col("status") == "tested"
-    df = df.withColumns({"statistic": F.when(ok, F.col("effect") / F.sqrt(vt + vr)), "df": F.when(ok, (vt + vr) ** 2 / (vt**2 / (F.col("n_test") - 1) + vr**2 / (F.col("n_reference") - 1)))})
+    df = df.withColumns({"statistic": F.when(ok, F.try_divide("effect", F.sqrt(vt + vr))), "df": F.when(ok, F.try_divide((vt + vr) ** 2, F.try_divide(vt**2, F.col("n_test") - 1) + F.try_divide(vr**2, F.col("n_reference") - 1)))})
     return df.withColumn("p_value", t_pvalue("statistic", "df"))
 
 
@@ -97,7 +98,7 @@ def stable_direction(pairs: DataFrame) -> Column:
 
     The extreme leave-one-out differences are those without the least or greatest unit of a side.
     """
-    loo = lambda w, x: (F.col(f"n_{w}") * F.col(f"mean_{w}") - F.col(x)) / (F.col(f"n_{w}") - 1)
+    loo = lambda w, x: F.try_divide(F.col(f"n_{w}") * F.col(f"mean_{w}") - F.col(x), F.col(f"n_{w}") - 1)
     diffs = [loo("test", f"{x}_test") - F.col("mean_reference") for x in ("low", "high")] + [F.col("mean_test") - loo("reference", f"{x}_reference") for x in ("low", "high")]
     s = F.signum("effect")
     cond = F.lit(True)
@@ -129,7 +130,7 @@ def paired_t(units: DataFrame, strata: Sequence[str], pair: str, group: str, tes
     status = F.when(F.col("ambiguous") > 0, "ambiguous_pairing").when(F.col("n_matched_pairs") < max(2, min_n), "descriptive_small_n").when(F.col("var") == 0, "not_estimable").otherwise("tested")
     out = out.withColumn("status", status)
     ok = F.col("status") == "tested"
-    out = out.withColumns({"statistic": F.when(ok, F.col("effect") / F.sqrt(F.col("var") / F.col("n_matched_pairs"))), "df": F.when(ok, (F.col("n_matched_pairs") - 1).cast("double"))})
+    out = out.withColumns({"statistic": F.when(ok, F.try_divide("effect", F.sqrt(F.try_divide("var", "n_matched_pairs")))), "df": F.when(ok, (F.col("n_matched_pairs") - 1).cast("double"))})
     return out.withColumn("p_value", t_pvalue("statistic", "df")).drop("var", "ambiguous")
 
 
@@ -149,9 +150,9 @@ def mann_whitney(units: DataFrame, strata: Sequence[str], group: str, test: str,
     n1, n2 = F.col("n_test"), F.col("n_reference")
     n = n1 + n2
     out = out.filter((n1 > 0) & (n2 > 0)).withColumn("u", F.col("rs") - n1 * (n1 + 1) / 2)
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie"), n * (n - 1))))
     z = F.when(sd > 0, (F.greatest(F.abs(F.col("u") - n1 * n2 / 2) - 0.5, F.lit(0.0))) / sd)
-    out = out.withColumn("z", z).withColumn("rank_biserial", 2 * F.col("u") / (n1 * n2) - 1)
+    out = out.withColumn("z", z).withColumn("rank_biserial", F.try_divide(2 * F.col("u"), n1 * n2) - 1)
     return out.withColumn("p_value", normal_pvalue("z")).drop("rs", "tie")
 
 
@@ -175,7 +176,9 @@ def spearman(units: DataFrame, strata: Sequence[str], unit: str, feature: str, f
     pairs = a.join(b, [*strata, unit]).filter("feature_a < feature_b")
     by = [*strata, "feature_a", "feature_b"]
     ranked = average_ranks(average_ranks(pairs, by, "a", "ra"), by, "b", "rb")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    # moments instead of corr(), which divides by zero on constant ranks
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("ra", "rb").alias("cov"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    out = out.withColumn("rho", F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("cov") / F.sqrt(F.col("va") * F.col("vb")))).drop("cov", "va", "vb")
     flat = (F.col("a0") == F.col("a1")) | (F.col("b0") == F.col("b1"))
     out = out.withColumn("status", F.when((F.col("n") < max(4, min_n)) | flat, "descriptive_small_n").otherwise("tested"))
     ok = F.col("status") == "tested"

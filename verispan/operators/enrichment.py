@@ -23,13 +23,14 @@ def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFra
     members = sets.select("term", "gene").distinct().join(uni, "gene", "left_semi")
     hits = members.join(sel.withColumn("hit", F.lit(1)), "gene", "left")
     rows = hits.groupBy("term").agg(F.count("*").alias("term_n"), F.count("hit").alias("overlap"))
-    n, k = uni.count(), sel.count()
-    logs = uni.sparkSession.range(1, n + 1).select("id", F.sum(F.log("id")).over(W.orderBy("id")).alias("f"))
+    sizes = uni.agg(F.count("*").alias("universe_n")).crossJoin(F.broadcast(sel.agg(F.count("*").alias("selected_n"))))
+    # one row: the sizes and the log factorials 0 to n; sequence() and the check refuse what is no gene universe
+    too_many = F.raise_error(F.concat(F.lit("no gene universe: "), F.col("universe_n").cast("string"), F.lit(" genes"))).cast("long")
+    sizes = sizes.withColumn("universe_n", F.when(F.col("universe_n") > MOST_GENES, too_many).otherwise(F.col("universe_n")))
+    numbered = sizes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("universe_n", F.lit(1)))).alias("id"))
+    logs = numbered.select("id", F.sum(F.log("id")).over(W.orderBy("id")).alias("f"))
     table = logs.agg(F.array_sort(F.collect_list(F.struct("id", "f"))).alias("t")).select(F.concat(F.array(F.lit(0.0)), F.transform("t", lambda x: x["f"])).alias("lf"))
-    if n > MOST_GENES:
-        raise ValueError(f"a universe of {n} genes is no gene universe")
-    rows = rows.withColumns({"selected_n": F.lit(k).cast("long"), "universe_n": F.lit(n).cast("long"), "one": F.lit(1)})
-    rows = rows.join(F.broadcast(table.withColumn("one", F.lit(1))), "one").drop("one")
+    rows = rows.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(table))  # one row each, at most MOST_GENES numbers
     lf = lambda i: f"lf[cast({i} as int)]"
     choose = lambda a, b: f"({lf(a)} - {lf(b)} - {lf(f'({a}) - ({b})')})"
     top = "least(term_n, selected_n)"

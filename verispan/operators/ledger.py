@@ -52,8 +52,7 @@ def screening_flow(ledger: DataFrame, order: str) -> DataFrame:
         F.countDistinct(F.when(into, c("d.study_id"))).alias("studies_included"), F.count_if(~lost & ~into & ~out).alias("reports_unresolved"),
         F.count_if(c("a") != c("b")).alias("__conflicts"), F.count_if(out & c("d.exclusion_reason").isNull()).alias("__no_reason"), F.count_if(into & c("d.study_id").isNull()).alias("__no_study"),
     )
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    row = one(heads).join(one(repeated), "__one").join(one(dup), "__one").join(one(tail), "__one")
+    row = heads.crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(dup)).crossJoin(F.broadcast(tail))  # one row each
     errors = c("__no_report") + c("__no_id") + c("__repeated") + c("__bad_duplicates") + c("__conflicts") + c("__no_reason") + c("__no_study")
     row = row.withColumns({"records_pending_screening": c("__unique") - c("records_screened"), "errors": errors})
     row = row.withColumns({"valid": c("errors") == 0, "complete": (c("records_pending_screening") == 0) & (c("reports_unresolved") == 0) & (c("errors") == 0)})

@@ -100,14 +100,17 @@ def parse_lines(
     df = attach(base.filter(F.coalesce(F.col(line_no) != 1, F.lit(True))), schemas, [file])
     # lines of files without any header line have no separator yet
     df = df.withColumn("sep", F.coalesce("sep", F.when(F.lower(F.col(file)).endswith(".tsv"), "\t").otherwise(",")))
-    at = lambda f: F.array_position("order", f).cast("int")
-    grab = lambda f: F.expr(f"regexp_extract(`{raw}`, row_pattern, cast(array_position(`order`, '{f}') as int))")
-    first = text[0]
-    df = df.withColumn(f"__{first}", F.when(F.col("row_pattern").isNotNull() & at(first).isNotNull(), grab(first)))
-    fits = F.coalesce(F.col(f"__{first}") != "", F.lit(False))  # a text field is never empty in a valid row
+    # one match of the row pattern cuts a valid line into its fields; other lines stay one part
+    mark = "\x1f"
+    cut = F.split(F.expr(f"regexp_replace(`{raw}`, row_pattern, '{''.join(f'{mark}${i + 1}' for i in range(width))}')"), mark, -1)
+    each = F.array(F.lit(""), *[F.expr(f"regexp_extract(`{raw}`, row_pattern, {i + 1})") for i in range(width)])
+    cut = F.when(F.col("row_pattern").isNull() | F.col(raw).isNull(), F.lit(None)).when(F.col(raw).contains(mark), F.when(F.expr(f"`{raw}` rlike row_pattern"), each)).otherwise(cut)
+    # a generator: later filters must not pull the match apart into one per field
+    df = df.select("*", F.explode(F.array(cut)).alias("__cut"))
     plain = lambda c: F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
-    df = df.withColumn("__fits", fits)
-    values = {f: F.when(F.col("__fits"), plain(F.col(f"__{f}") if f == first else grab(f))) for f in (*text, *number)}
+    df = df.withColumn("__fits", F.coalesce(F.size("__cut") == width + 1, F.lit(False)))
+    grab = lambda f: F.expr(f"get(__cut, cast(array_position(`order`, '{f}') as int))")
+    values = {f: F.when(F.col("__fits"), plain(grab(f))) for f in (*text, *number)}
     for f in number:
         values[f] = F.regexp_replace(values[f], rf"^{BLANK}+|{BLANK}+$", "")
     df = df.withColumns({f"__v_{f}": v for f, v in values.items()})

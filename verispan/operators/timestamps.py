@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.scale import attach, new_path
+from verispan.scale import attach, new_path, written
 
 # Zone abbreviations with their offset, month names.
 ABBREVIATIONS = {
@@ -173,48 +173,73 @@ def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> Da
     return df.select(*cols, form.alias("normal_form"))
 
 
-def parts_form(parts: Column) -> Column:
-    """The date of nested date parts: the first element counts, null parts are absent."""
+def parts_text(parts: Column) -> Column:
+    """The first element of nested date parts as a key like ``2024,5,``; null where it holds no number."""
     first = F.get(parts, F.lit(0))
-    part = lambda i: F.get(first, F.lit(i))
+    part = lambda i: F.coalesce(F.get(first, F.lit(i)).cast("string"), F.lit(""))
+    return F.nullif(F.concat_ws(",", part(0), part(1), part(2)), F.lit(",,"))
+
+
+def parts_form(text: Column) -> Column:
+    """The date of a key of ``parts_text``: null parts are absent, and so is a day without a month."""
+    part = lambda i: _int(F.get(F.split(text, ","), F.lit(i)))
     return _stamp(part(0), part(1), F.when(part(1).isNotNull(), part(2)))
 
 
+KEYS = ["parts", "text", "zone", "day_first"]
+
+
 def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
-    """The dictionary at ``path`` after it was extended by the unseen ``keys`` (text, zone, day_first)."""
+    """``keys`` (``KEYS`` and further columns) with ``normal_form`` from the dictionary at ``path``, which is first extended by those it lacks.
+
+    Each run appends its unseen keys as one table. What a broken run left behind does no harm: the
+    dictionary is read grouped by key, so rows appended twice count once.
+    """
     spark = keys.sparkSession
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
-    exists = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    unseen = keys
-    if exists:
-        known = spark.read.parquet(path)
-        same = keys["text"].eqNullSafe(known["text"]) & keys["zone"].eqNullSafe(known["zone"]) & keys["day_first"].eqNullSafe(known["day_first"])
-        unseen = keys.join(known, same, "left_anti")
-    parse_texts(unseen, "text", "zone", "day_first").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+
+    def known() -> DataFrame:
+        return spark.read.schema(", ".join(f"{k} {'boolean' if k == 'day_first' else 'string'}" for k in KEYS) + ", normal_form string").parquet(path)
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        cond = a["text"].eqNullSafe(b["text"])
+        for k in KEYS:
+            cond = cond & a[k].eqNullSafe(b[k])
+        return cond
+
+    unseen = keys.select(*KEYS)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        old = known()
+        unseen = unseen.join(old, same(unseen, old), "left_anti")
+    form = parse_texts(unseen, "text", "zone", "day_first")
+    form.select(*KEYS, F.coalesce(parts_form(F.col("parts")), "normal_form").alias("normal_form")).write.mode("append").parquet(path)
+    once = known().groupBy(*KEYS).agg(F.min("normal_form").alias("normal_form"))
+    return keys.join(once, same(keys, once)).select(*[keys[c] for c in keys.columns], once["normal_form"])
 
 
 def normalise_dates(df: DataFrame, feeds: DataFrame, key: str, text: str, parts: str, provider: str, dictionary: str | None = None) -> DataFrame:
     """``key`` and ``normal_form`` (null where no possible date is denoted) for every row of ``df``.
 
-    ``parts`` decides where it gives a date, else ``text``. ``dictionary`` is the path of the table
-    of parsed texts that is kept between runs; by default a new one in the shared folder.
+    ``parts`` decides where it gives a date, else ``text``; both are looked up in the dictionary of
+    distinct (parts, text, zone, day order). ``dictionary`` is its path, kept between runs; by
+    default a new one in the shared folder.
 
-    Defined cases: null and empty texts and those of more than 200 characters besides padding have no form; a row of an unknown provider has
-    no zone and no day order, so only texts that need neither are read; repeated rows keep their
-    own key; an empty table gives an empty result; other columns are ignored.
+    Defined cases: null, empty and blank texts have no form, nor has any text, however long, that is
+    no date once its white space is squeezed; a row of an unknown provider has no zone and no day
+    order, so only texts that need neither are read; repeated rows keep their own key; an empty
+    table gives an empty result; other columns are ignored.
     """
     path = dictionary or new_path(df.sparkSession, "dates")
     sources = feeds.groupBy(provider).agg(F.min("zone").alias("zone"), F.min("day_first").alias("day_first"))
-    # few providers, each of which may hold a third of the rows: attach() serves them by a bounded broadcast
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("text"), parts_form(F.col(parts)).alias("__parts"), F.col(provider).alias(provider))
+    rows = df.select(F.col(key).alias("__key"), parts_text(F.col(parts)).alias("parts"), F.nullif(squeezed(F.col(text)), F.lit("")).alias("text"), F.col(provider).alias(provider))
+    # few providers, each of which may hold a third of the rows
     rows = attach(rows, sources, [provider])
-    # texts longer than any date without their padding are no keys: they would only swell the dictionary
-    short = F.when(F.length("text") <= 200, F.col("text")).otherwise(squeezed(F.col("text")))
-    rows = rows.withColumn("text", F.when(F.col("__parts").isNull(), short)).withColumn("text", F.when(F.length("text") <= 200, F.col("text")))
-    keys = rows.filter(F.col("text").isNotNull()).groupBy("text", "zone", "day_first").agg(F.count("*").alias("n")).drop("n")
-    known = extend_dictionary(keys, path)
-    out = attach(rows.filter(F.col("text").isNotNull()), known, ["text", "zone", "day_first"]).select("__key", "normal_form")
-    out = out.unionByName(rows.filter(F.col("text").isNull()).select("__key", F.col("__parts").alias("normal_form")))
+    needs = F.col("text").isNotNull()  # parts have no zone and no order
+    rows = rows.withColumns({"zone": F.when(needs, F.col("zone")), "day_first": F.when(needs, F.col("day_first"))})
+    dated = F.col("parts").isNotNull() | needs
+    keys = written(rows.filter(dated).groupBy(*KEYS).agg(F.count("*").alias("n")), "date-keys")
+    named = written(extend_dictionary(keys, path), "date-forms")
+    out = attach(rows.filter(dated), named, KEYS, weight="n").select("__key", "normal_form")
+    out = out.unionByName(rows.filter(~dated).select("__key", F.lit(None).cast("string").alias("normal_form")))
     return out.withColumnRenamed("__key", key)

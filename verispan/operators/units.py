@@ -24,7 +24,7 @@ def detection(units: DataFrame, scope: Sequence[str], group: str, unit: str, fea
     """Observed against expected units per feature and group; expected counts units over all features of the scope."""
     expected = units.groupBy(*scope, group).agg(F.countDistinct(unit).alias("expected_units"))
     seen = units.groupBy(*scope, feature, group).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col(unit))).alias("observed_units"))
-    return seen.join(expected, [*scope, group]).withColumn("detection", F.col("observed_units") / F.col("expected_units"))
+    return seen.join(expected, [*scope, group]).withColumn("detection", F.try_divide("observed_units", "expected_units"))
 
 
 def reference_normalise(units: DataFrame, keys: Sequence[str], feature: str, references: Sequence[str], mode: str, value: str = "value") -> DataFrame:
@@ -77,5 +77,4 @@ def metadata_join_checks(obs: DataFrame, meta: DataFrame, key: str) -> DataFrame
     a = left.join(right, key, "left_anti").agg(F.count("*").alias("rows_without_metadata"), F.countDistinct(key).alias("keys_without_metadata"))
     b = right.join(left, key, "left_anti").agg(F.count("*").alias("metadata_without_rows"))
     c = right.groupBy(key).count().agg(F.count_if(F.col("count") > 1).alias("duplicate_metadata_keys"))
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    return one(a).join(one(b), "__one").join(one(c), "__one").drop("__one")
+    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each

@@ -16,20 +16,28 @@ from pyspark.sql import functions as F
 HOT_KEYS = 256
 """At most so many keys are treated as hot; this bounds every broadcast made by ``attach``."""
 
+SMALL_BYTES = 256 * 1024
+"""A side is broadcast whole only if the files it is read from hold at most so many bytes."""
+TRACKED = 8192
+"""Counters of the sketch that finds hot keys; a key of more than about 1 / TRACKED of all rows is never missed."""
+
 _written: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a folder of this machine is made.
+    Only where a ``local[...]`` session names none, one folder of this machine serves the application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="verispan-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="verispan-")
+        folder = _local[app]
     return folder
 
 
@@ -63,27 +71,44 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle ``df`` over all cores only if its scan has fewer splits than the cluster has cores.
 
-    Meant before CPU-heavy map stages over tables stored in a few large row groups; a table with
-    enough splits of its own is returned as it is.
+    Meant before CPU-heavy map stages over tables stored in a few large row groups. Splits are
+    counted from the planned scan; no job runs. A plan with a shuffle of its own is returned as it
+    is: adaptive execution keeps at least as many partitions as there are cores.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or "Exchange" in plan.toString():
+        return df
+    if plan.execute().getNumPartitions() >= cores:
         return df
     n = max(cores * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
 
 
+def proven_small(df: DataFrame) -> bool:
+    """Whether ``df`` only selects or groups tables whose files hold at most ``SMALL_BYTES``; no job runs."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("LogicalRelation", "LocalRelation", "Project", "Filter", "Aggregate", "SubqueryAlias"):
+            return False
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return int(str(plan.stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", weight: str | None = None) -> DataFrame:
     """Join ``big`` to the unique rows of ``small`` on ``keys`` though a few keys may hold most rows of ``big``.
 
-    The ``HOT_KEYS`` most frequent keys are found by a partial aggregate and are served by a
-    broadcast of at most ``HOT_KEYS`` rows. In the shuffle join that serves the rest, rows already
-    served carry a salt instead of their key, so they spread evenly and match nothing, and no other
-    key holds more than ``1 / HOT_KEYS`` of all rows. ``big`` is read once besides the aggregate;
-    ``weight`` names a column of ``small`` that already counts the rows of ``big`` per key, which
-    saves that too; then every key of ``big`` must be in ``small``. Null keys match null keys. ``how`` is ``left`` or ``inner``. Columns of
-    ``small`` other than the keys are added.
+    A ``small`` of proven size is broadcast. Otherwise a sketch of bounded size finds the
+    ``HOT_KEYS`` most frequent keys of ``big``; their rows of ``small`` are broadcast, at most
+    ``HOT_KEYS``. In the shuffle join that serves the rest, rows with a hot key carry a salt instead
+    of their key, so they spread evenly and match nothing. What the sketch finds only decides which
+    way a row goes, never its result. ``weight`` names a column of ``small`` that counts the rows of
+    ``big`` per key, which spares the sketch; then every key of ``big`` must be in ``small``. Null
+    keys match null keys. ``how`` is ``left`` or ``inner``. Columns of ``small`` other than the keys
+    are added. ``big`` is read once besides the sketch; no job runs here.
     """
     keys = list(keys)
     added = [c for c in small.columns if c not in keys and c != weight]
@@ -100,18 +125,24 @@ def attach(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "le
         return cond
 
     values = lambda tag: [F.col(c).alias(f"__{tag}_{c}") for c in added]
+    if proven_small(small):
+        all_ = F.broadcast(as_keys(small, *values("hot")))
+        out = big.join(all_, same(big, keys, all_, names), how)
+        return out.select(*big.columns, *[F.col(f"__hot_{c}").alias(c) for c in added])
+    found = as_keys(small, *values("hot"), F.lit(True).alias("__matched"), F.xxhash64(*keys).alias("__h"), *([F.col(weight).alias("__w")] if weight else []))
     if weight is not None:
-        hot = as_keys(small.orderBy(F.desc_nulls_last(weight), *keys).limit(HOT_KEYS), *values("hot"), F.lit(True).alias("__matched"))
+        found = found.orderBy(F.desc_nulls_last("__w"), *names).limit(HOT_KEYS)
+        warm = big.join(F.broadcast(found), same(big, keys, found, names), "left").withColumn("__is_hot", F.col("__matched"))
     else:
-        top = as_keys(big.groupBy(*keys).count().orderBy(F.desc("count"), *keys).limit(HOT_KEYS))
-        found = as_keys(small, *values("hot"))
-        found = found.join(F.broadcast(top), same(found, names, top, names), "left_semi").withColumn("__matched", F.lit(True))
-        others = [f"__f{i}" for i in range(len(keys))]
-        found = found.withColumnsRenamed(dict(zip(names, others)))
+        top = big.select(F.xxhash64(*keys).alias("__h")).agg(F.expr(f"approx_top_k(__h, {HOT_KEYS}, {TRACKED})").alias("t"))
+        top = top.select(F.explode("t.item").alias("__h")).distinct()
+        found = found.join(F.broadcast(top), "__h", "left_semi").drop("__h")
         # also a frequent key without a counterpart must not meet in one task
-        hot = top.join(F.broadcast(found), same(top, names, found, others), "left").drop(*others)
-    hot = hot.withColumn("__is_hot", F.lit(True))
-    warm = big.join(F.broadcast(hot), same(big, keys, hot, names), "left").drop(*names)
+        flag = top.withColumnsRenamed({"__h": "__top"}).withColumn("__is_hot", F.lit(True))
+        warm = big.withColumn("__h", F.xxhash64(*keys))
+        warm = warm.join(F.broadcast(flag), warm["__h"] == flag["__top"], "left")
+        warm = warm.join(F.broadcast(found), same(warm, keys, found, names), "left")
+    warm = warm.drop(*names, "__w", "__top", "__h")
     atoms = [c for c, t in big.dtypes if not t.startswith(("map", "struct", "array", "variant"))]
     salt = F.lit(-1) - F.pmod(F.xxhash64(F.spark_partition_id(), *atoms), F.lit(space))
     warm = warm.withColumn("__at", F.when(F.col("__is_hot"), salt).otherwise(F.pmod(F.xxhash64(*keys), F.lit(space))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -36,14 +37,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int = 8, memory: str = "6g", partitions: int = 8, app: str = "verispan") -> SparkSession:
-    """A local session with UTC, adaptive execution and few shuffle partitions."""
+def local_session(cores: int = 8, memory: str = "6g", partitions: int = 8, app: str = "verispan", shared: str | None = None) -> SparkSession:
+    """A local session with UTC, adaptive execution and few shuffle partitions; ``shared`` is the folder for tables that cut lineage."""
     return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", shared or "file://" + tempfile.mkdtemp(prefix="verispan-"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")

@@ -86,7 +86,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """``term, gene`` of a GMT file; refuses rows without members and repeated terms."""
     rows = spark.read.text(path).filter("trim(value) <> ''").select(F.split("value", "\t").alias("f"))
-    sets = rows.select(F.get("f", F.lit(0)).alias("term"), F.filter(F.slice("f", 3, 1_000_000), lambda g: g != "").alias("genes"), F.size("f").alias("n"))
+    sets = rows.select(F.get("f", F.lit(0)).alias("term"), F.filter(F.slice("f", 3, F.greatest(F.size("f"), F.lit(1))), lambda g: g != "").alias("genes"), F.size("f").alias("n"))
     if sets.filter("n < 3").limit(1).count():
         raise ValueError("a gene set needs a term, a description and members")
     if sets.groupBy("term").count().filter("count > 1").limit(1).count():
