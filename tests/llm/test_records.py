@@ -110,7 +110,19 @@ def test_survivor_edges_and_layers(spark):
     assert pick(df) == {("g", "journal", 4), ("g", "year", 4), ("g", "doi", 4), ("t", "journal", 8), ("t", "year", 8), ("t", "doi", 8)}
     assert pick(df.limit(0)) == set()
     layers = {r.key: r.layer for r in representative.dominance_layers(df, F.col("g"), representative.usable_fields(), "trust", "at", "k").collect()}
-    assert layers[4] == layers[3] == 1 and layers[2] == 2 and layers[1] == 3 and layers[8] == 1
+    assert layers[4] == layers[3] == 1 and layers[2] == layers[1] == 2 and layers[8] == 1
+
+
+def test_skyline_of_whole_records(spark):
+    """Layer 1 holds the undominated records; a dominated one stays out of the choice though it has the field."""
+    both, one = ("J", 2020), ("J", 1900)
+    rows = [("g", 1, *both, 3, 50), ("g", 2, *one, 1, 10), ("g", 3, *one, 3, 40), ("g", 4, *both, 4, 50), ("g", 5, *one, 2, 60), ("g", 6, *both, 3, 50)]
+    df = spark.createDataFrame(rows, "g string, k long, journal string, year int, trust int, t long").withColumns({"at": F.timestamp_seconds("t"), "authors": F.expr("array(named_struct('family', 'et al.'))"), "doi": F.lit(None).cast("string")})
+    cells = representative.group_cells(df, F.col("g"), representative.usable_fields(), "trust", "at", "k")
+    layer = {c["key"]: c["layer"] for r in representative.layered_cells(cells).collect() for c in r.cells}
+    assert layer == {1: 1, 2: 1, 3: 2, 4: 2, 5: 1}  # 6 ties with 1 in its cell
+    got = {(r.field_name, r.key) for r in representative.surviving_fields(df, F.col("g"), representative.usable_fields(), "trust", "at", "k").collect()}
+    assert got == {("journal", 2), ("year", 1)}
 
 
 @pytest.mark.parametrize("parts", [2, 7])
@@ -122,12 +134,13 @@ def test_layers_of_all_records(spark, parts):
     groups = defaultdict(list)
     for g, k, journal, year, trust, t in rows:
         if g not in (None, "single"):
-            groups[g].append(((journal != "J") + (year == 1900), trust or 99, -t if t is not None else 99, k))
+            have = frozenset(["journal"] * (journal == "J") + ["year"] * (year != 1900))
+            groups[g].append((have, trust or 99, -t if t is not None else 99, k))
     want = {}
     for g, members in groups.items():
         depth = {}
-        for p in sorted({m[:3] for m in members}):
-            depth[p] = 1 + max((n for o, n in depth.items() if all(x <= y for x, y in zip(o, p))), default=0)
+        for p in sorted({m[:3] for m in members}, key=lambda m: (m[2], -len(m[0]), m[1])):
+            depth[p] = 1 + max((n for o, n in depth.items() if o[0] >= p[0] and o[1] <= p[1] and o[2] <= p[2]), default=0)
         want |= {m[3]: (len(members), depth[m[:3]]) for m in members}
     usual = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
     try:
