@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.scale import attach, new_path, written
+from verispan.scale import attach, fenced, new_path, spread, written
 
 # Zone abbreviations with their offset, month names.
 ABBREVIATIONS = {
@@ -81,7 +81,7 @@ def _dated(df: DataFrame, text: str, day_first: str, out: str) -> DataFrame:
     for n, mark in (("8", "C"), ("7", "Yj"), ("4", "Y"), ("3", "j"), ("1,2", "n")):
         shape = F.regexp_replace(shape, rf"(?<![0-9])[0-9]{{{n}}}(?![0-9])", mark)
     layouts = F.create_map(*[F.lit(x) for kv in LAYOUTS.items() for x in kv])
-    df = df.withColumns({"__shape": shape, "__num": F.transform(F.regexp_extract_all(F.col(text), F.lit("[0-9]{1,8}"), F.lit(0)), lambda x: x.cast("int"))})
+    df = fenced(df, {"__shape": shape, "__num": F.transform(F.regexp_extract_all(F.col(text), F.lit("[0-9]{1,8}"), F.lit(0)), lambda x: x.cast("int"))})
     df = df.withColumn("__layout", F.try_element_at(layouts, F.col("__shape")))
     n = lambda i: F.get("__num", F.lit(i))
     is_ = lambda *x: F.col("__layout").isin(*x)
@@ -110,7 +110,7 @@ def _dated(df: DataFrame, text: str, day_first: str, out: str) -> DataFrame:
         .when(is_("012"), n(2))
         .otherwise(none)
     )
-    df = df.withColumns({"__y": year, "__mo": month, "__d": day, "__j": F.when(seven.isNotNull(), seven % 1000).otherwise(n(1))})
+    df = fenced(df, {"__y": year, "__mo": month, "__d": day, "__j": F.when(seven.isNotNull(), seven % 1000).otherwise(n(1))})
     first = F.when(F.col("__y").between(1, 9999), F.make_date(F.when(F.col("__y").between(1, 9999), F.col("__y")), F.lit(1), F.lit(1)))
     at = F.date_add(first, F.when(F.col("__j").between(1, 366), F.col("__j")) - 1)
     form = (
@@ -118,7 +118,7 @@ def _dated(df: DataFrame, text: str, day_first: str, out: str) -> DataFrame:
         .when(F.col("__layout") == "ordinal", F.when(F.year(at) == F.col("__y"), at.cast("string")))
         .otherwise(_stamp(F.col("__y"), F.col("__mo"), F.col("__d")))
     )
-    return df.select(*cols, form.alias(out))
+    return fenced(df.select(*cols, form.alias(out)), {out: F.col(out)})
 
 
 def squeezed(text: Column) -> Column:
@@ -140,9 +140,9 @@ def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> Da
     df = distinct.withColumn("__s", F.regexp_replace(squeezed(F.col(text)), rf"(?i)^{WEEKDAY}\.?,? ", ""))
     # one match cuts the text into its groups
     cut = F.split(F.regexp_replace("__s", TAIL, "\x1f$1\x1f$2\x1f$3\x1f$4\x1f$5\x1f$6\x1f$7\x1f$8"), "\x1f")
-    df = df.withColumn("__g", cut).withColumn("__timed", F.size("__g") == 9)
+    df = fenced(df, {"__g": cut}).withColumn("__timed", F.size("__g") == 9)
     c = lambda i: F.get("__g", F.lit(i))
-    df = df.withColumns({"__text": F.when(F.col("__timed"), F.trim(c(1))).otherwise(F.col("__s")), "__hour": _int(c(2)), "__pm": F.lower(c(7)), "__z": F.regexp_replace(c(8), r"[\[\]]", "")})
+    df = fenced(df, {"__text": F.when(F.col("__timed"), F.trim(c(1))).otherwise(F.col("__s")), "__hour": _int(c(2)), "__pm": F.lower(c(7)), "__z": F.regexp_replace(c(8), r"[\[\]]", "")})
     df = _dated(df, "__text", day_first, "__day")
     hour = F.when(F.col("__pm") == "", F.col("__hour")).when(F.col("__hour").between(1, 12), F.col("__hour") % 12 + F.when(F.col("__pm") == "p", 12).otherwise(0))
     minute = F.when(c(3) != "", _int(c(3))).otherwise(_int(c(5)))
@@ -160,10 +160,10 @@ def parse_texts(distinct: DataFrame, text: str, zone: str, day_first: str) -> Da
         .when(z.contains("/"), F.when(known("__z"), z))
         .otherwise(F.try_element_at(abbr, F.upper(z)))
     )
-    df = df.withColumns({"__zone": at, "__h": hour, "__m": minute, "__x": second})
+    df = fenced(df, {"__zone": at, "__h": hour, "__m": minute, "__x": second})
     whole = (F.length("__day") == 10) & F.col("__h").between(0, 23) & F.col("__m").between(0, 59) & F.col("__x").between(0, 59) & F.col("__zone").isNotNull()
     two = lambda n: F.lpad(F.col(n).cast("string"), 2, "0")
-    df = df.withColumn("__wall", F.when(F.col("__timed") & whole, F.concat_ws(" ", "__day", F.concat_ws(":", two("__h"), two("__m"), two("__x")))).cast("timestamp_ntz"))
+    df = fenced(df, {"__wall": F.when(F.col("__timed") & whole, F.concat_ws(" ", "__day", F.concat_ws(":", two("__h"), two("__m"), two("__x")))).cast("timestamp_ntz")})
     instant = F.convert_timezone(F.when(F.col("__wall").isNotNull(), F.col("__zone")), F.lit("UTC"), F.col("__wall"))
     epoch = F.col("__s").rlike(r"^[0-9]{10}$|^[0-9]{13}$")
     seconds = F.when(epoch, F.substring("__s", 1, 10).cast("long"))
@@ -212,7 +212,7 @@ def extend_dictionary(keys: DataFrame, path: str) -> DataFrame:
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         old = known()
         unseen = unseen.join(old, same(unseen, old), "left_anti")
-    form = parse_texts(unseen, "text", "zone", "day_first")
+    form = parse_texts(spread(unseen), "text", "zone", "day_first")
     form.select(*KEYS, F.coalesce(parts_form(F.col("parts")), "normal_form").alias("normal_form")).write.mode("append").parquet(path)
     once = known().groupBy(*KEYS).agg(F.min("normal_form").alias("normal_form"))
     return keys.join(once, same(keys, once)).select(*[keys[c] for c in keys.columns], once["normal_form"])

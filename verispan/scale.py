@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 HOT_KEYS = 256
 """At most so many keys are treated as hot; this bounds every broadcast made by ``attach``."""
 
-SMALL_BYTES = 256 * 1024
+SMALL_BYTES = 4 * 1024 * 1024
 """A side is broadcast whole only if the files it is read from hold at most so many bytes."""
 TRACKED = 8192
 """Counters of the sketch that finds hot keys; a key of more than about 1 / TRACKED of all rows is never missed."""
@@ -86,6 +86,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def fenced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns that are computed once, behind a generator.
+
+    Long chains of expressions end up in one generated method, which the JVM does not compile beyond
+    8,000 bytes, and filters pull them apart. A generator of one row ends the method and stops the filter.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("__fenced")
+    return df.select("*", one).select(*[c for c in df.columns if c not in cols], *[F.col(f"__fenced.{n}").alias(n) for n in cols])
+
+
 def proven_small(df: DataFrame) -> bool:
     """Whether ``df`` only selects or groups tables whose files hold at most ``SMALL_BYTES``; no job runs."""
     plan = df._jdf.queryExecution().optimizedPlan()
