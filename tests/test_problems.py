@@ -11,6 +11,7 @@ import pytest
 
 from verispan.operators import nested, rejects, timestamps
 from verispan.plans import problems
+from verispan.plans.problems import SHAPES
 
 
 def fields_of(line, sep):
@@ -276,7 +277,7 @@ def test_nested_edges(spark):
     deep = "[" * 100_000 + "]" * 100_000
     rows = [(1, one, 5), (2, two, 5), (2, two, 5), (3, None, 5), (4, "", 5), (5, "{broken", 5), (6, deep, 5), (7, "[1, 2]", 5), (8, "3", None)]
     df = spark.createDataFrame(rows, "check_id long, body string, root_id int")
-    flat = nested.flatten(df, "check_id")
+    flat = nested.flatten(df, "check_id", shapes=SHAPES)
     roots = [(r.check_id, r.root_id) for r in flat.roots.collect()]
     assert Counter(k for k, _ in roots) == Counter(r[0] for r in rows)
     by = dict(roots)
@@ -286,4 +287,4 @@ def test_nested_edges(spark):
     assert flat.objects.filter("attributes['db'] = 'X'").count() == 1 and by[1] == by[2]
     got = Counter(tuple(r) for r in nested.branch_paths(flat, "check_id").collect())
     assert got == Counter({(1, "", "records", "A", "G", "X:1"): 3, (2, "", "records", "A", "G", "X:1"): 6})
-    assert nested.branch_paths(nested.flatten(df.limit(0), "check_id"), "check_id").collect() == []
+    assert nested.branch_paths(nested.flatten(df.limit(0), "check_id", shapes=SHAPES), "check_id").collect() == []

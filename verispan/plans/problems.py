@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.operators.nested import branch_paths, flatten
+from verispan.operators.nested import Shape, branch_paths, flatten
 from verispan.operators.rejects import parse_lines
 from verispan.operators.timestamps import normalise_dates
 from verispan.session import table
 
 
+# The branches of database_checks that hold entries.
+SHAPES = {
+    "records": Shape("accession", frozenset({"accession", "genes", "organism", "comments"})),
+    "genes": Shape("symbol", frozenset({"symbol", "synonyms", "xrefs"})),
+    "xrefs": Shape("id", frozenset({"db", "id", "quality"}), ("db", "id")),
+    "regions": Shape("name", frozenset({"name", "tracks"})),
+    "tracks": Shape("track", frozenset({"track", "hits"})),
+    "hits": Shape("hit", frozenset({"hit", "p_value", "extra"})),
+}
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that fail to parse, with the first reason that holds."""
     return parse_lines(table(spark, d, "assay_lines")).filter(F.col("reason").isNotNull()).select("line_id", "reason")
@@ -35,12 +46,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Cross-references and hits of nested answers with the names of their parents."""
-    return branch_paths(flatten(table(spark, d, "database_checks"), "check_id"), "check_id")
+    return branch_paths(flatten(table(spark, d, "database_checks"), "check_id", shapes=SHAPES), "check_id")
 
 
 def p6_objects(spark: SparkSession, d: str) -> DataFrame:
     """How often each distinct object is used: the saving of storing identical objects once."""
-    flat = flatten(table(spark, d, "database_checks"), "check_id")
+    flat = flatten(table(spark, d, "database_checks"), "check_id", shapes=SHAPES)
     return flat.bridge.groupBy("branch").agg(F.count("*").alias("uses"), F.countDistinct("child_id").alias("objects"))
 
 
