@@ -134,8 +134,7 @@ def test_mix(spark, total):
     assert all(uses[texts[r.doc_id]] <= cap[r.source] for r in rows) and {r.source for r in rows} <= set(cap)
     assert len({(r.doc_id, r.epoch) for r in rows}) == len(rows)
     for s, r in shares.items():
-        assert r.tokens == sum(x.n_tokens for x in rows if x.source == s) and r.tokens <= r.budget_tokens
-        assert r.tokens > r.budget_tokens - 20
+        assert r.tokens == sum(x.n_tokens for x in rows if x.source == s) and abs(r.tokens - r.budget_tokens) <= 11  # half of the longest text
     assert sum(r.share for r in shares.values()) == pytest.approx(1)
     if total is None:
         assert all(abs(r.share - r.target_share) < 0.02 for r in shares.values())

@@ -25,17 +25,19 @@ MOST_SOURCES = 100_000
 """The tree of sources is handled on the driver; more sources than this are refused."""
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokens: str = DEFAULT) -> DataFrame:
-    """``key, n_tokens`` of each text; ``key`` is unique."""
+def token_counts(rows: DataFrame, text: str, tokens: str = DEFAULT) -> DataFrame:
+    """``rows`` with ``n_tokens`` in place of the ``text``, which never leaves the task that read it."""
+    keep = [c for c in rows.columns if c != text]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = tokenizer(tokens)
         for pdf in batches:
-            yield pd.DataFrame({"__key": pdf["__key"], "n_tokens": [tok.count(t) for t in pdf["text"]]})
+            out = pdf[keep].copy()
+            out["n_tokens"] = [tok.count(t) for t in pdf[text]]
+            yield out
 
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("text"))
-    return spread(rows).mapInPandas(count, f"__key {kind}, n_tokens long").withColumnRenamed("__key", key)
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(count, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long")
 
 
 def plan_budgets(leaves: list[Mapping], total: float | None) -> dict[str, float]:
@@ -95,12 +97,11 @@ def owned_texts(docs: DataFrame, targets: DataFrame, key: str, text: str, source
     cap holds for texts, not only for documents.
     """
     known = targets.groupBy(source).agg(F.max("target_share").alias("__share"))
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(source).alias(source)).filter(F.col(source).isNotNull() & (F.length("__text") > 0))
-    rows = attach(rows, known, [source], "inner").drop("__share").withColumn("text_id", F.sha2("__text", 256))
-    best = rows.groupBy("text_id").agg(F.min(F.struct(source, "__key")).alias("own"), F.min("__text").alias("__text"))
-    best = best.select("text_id", F.col("own.__key").alias(key), F.col(f"own.{source}").alias(source), "__text")
-    counts = token_counts(best.select(F.struct("text_id", key, source).alias("id"), "__text"), "id", "__text", tokens)
-    return written(counts.select("id.text_id", f"id.{key}", f"id.{source}", "n_tokens"), "mix-tokens")
+    rows = spread(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(source).alias(source)))
+    rows = attach(rows.filter(F.col(source).isNotNull() & (F.length("__text") > 0)), known, [source], "inner").drop("__share")
+    counts = token_counts(rows.withColumn("text_id", F.sha2("__text", 256)), "__text", tokens)
+    best = counts.groupBy("text_id").agg(F.min(F.struct(source, "__key")).alias("own"), F.min("n_tokens").alias("n_tokens"))
+    return written(best.select("text_id", F.col("own.__key").alias(key), F.col(f"own.{source}").alias(source), "n_tokens"), "mix-tokens")
 
 
 def source_tree(docs: DataFrame, source: str, domain: str, language: str) -> DataFrame:
@@ -129,8 +130,8 @@ def mix_sources(
 
     ``total_tokens`` None: the largest total at which every source that has room has its share; ``of_available``
     sets the total as a multiple of the tokens of all texts that may be used. The prefix of the last
-    epoch ends before the text that would exceed the budget, so a source misses its budget by
-    less than one text. ``shares`` has a row for each source of ``targets``.
+    epoch ends before or after the text that would exceed the budget, whichever is nearer, so a
+    source misses its budget by at most half a text. ``shares`` has a row for each source of ``targets``.
 
     Defined cases: documents without a source, of a source without target, or with a null or empty
     text take no part; exact copies of a text count as one text; a target source without texts has
@@ -165,14 +166,16 @@ def mix_sources(
     plan = spark.createDataFrame(rows, f"`{source}` string, target_share double, max_repeats int, available_tokens long, budget_tokens long, full_epochs int, rest_tokens long")
     # the last epoch: a seeded order, token sums per bucket of it, and exact sums inside the one bucket where the budget ends
     place = F.xxhash64(F.lit(seed), "text_id")
-    rows_ = attach(owned, plan.select(source, "full_epochs", "rest_tokens"), [source], "inner").withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
+    few = plan.select(source, "full_epochs", "rest_tokens")  # at most MOST_SOURCES rows
+    rows_ = owned.join(F.broadcast(few), source).withColumn("place", place).withColumn("bucket", F.pmod("place", F.lit(BUCKETS)).cast("int"))
     sums = rows_.filter("rest_tokens > 0").groupBy(source, "bucket").agg(F.sum("n_tokens").alias("t"))
     upto = W.partitionBy(source).orderBy("bucket")  # at most BUCKETS rows of a source
     ends = sums.withColumn("before", F.sum("t").over(upto) - F.col("t")).select(source, "bucket", "before", (F.col("before") + F.col("t")).alias("after"))
     ranked = rows_.join(ends, [source, "bucket"], "left")
     inside = ranked.filter((F.col("before") < F.col("rest_tokens")) & (F.col("after") > F.col("rest_tokens")))
     run = W.partitionBy(source).orderBy("place", "text_id")
-    inside = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).filter("sum <= rest_tokens").drop("sum")
+    # the text over which the budget ends goes in if that misses the budget by less
+    inside = inside.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run)).filter("2 * sum - n_tokens < 2 * rest_tokens").drop("sum")
     part = ranked.filter(F.col("after") <= F.col("rest_tokens")).unionByName(inside).select(key, source, F.col("full_epochs").alias("epoch"), "n_tokens")
     full = rows_.filter("full_epochs > 0").select(key, source, F.explode(F.sequence(F.lit(0), F.col("full_epochs") - 1)).alias("epoch"), "n_tokens")
     mix = full.unionByName(part)
@@ -181,5 +184,5 @@ def mix_sources(
         source, "target_share", "max_repeats", "available_tokens", "budget_tokens",
         F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce(F.col("last") + 1, F.lit(0)).alias("epochs"),
     )
-    whole = shares.agg(F.sum("tokens")).first()[0] or 0
-    return mix, shares.withColumn("share", F.col("tokens") / F.lit(float(whole)) if whole else F.lit(0.0))
+    share = F.try_divide("tokens", F.sum("tokens").over(W.partitionBy()))  # one row a source
+    return mix, shares.withColumn("share", F.coalesce(share, F.lit(0.0)))
