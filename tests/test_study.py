@@ -42,7 +42,8 @@ def test_cycle_values_and_scales(spark):
     linear = {**CONFIG, "study": {**CONFIG["study"], "data_scale": "linear"}}
     assert analyse(frame(spark), linear).contrasts.first().log2fc == pytest.approx(__import__("math").log2(4.2 / 1.2))
     counts = {**CONFIG, "study": {**CONFIG["study"], "data_scale": "raw_counts"}, "analysis": {"technical_aggregation": "sum"}}
-    assert analyse(frame(spark).withColumn("Log2", F.lit("4")), counts).contrasts.first().status == "requires_count_model"
+    few = analyse(frame(spark).withColumn("Log2", F.lit("4")), counts)  # too few genes for a count model
+    assert few.contrasts.first().status == "qc_blocked" and few.blocked and "count_model_unavailable" in {r.code for r in few.issues.collect()}
     for bad in ({**config, "qpcr": {}}, {**CONFIG, "comparisons": []}, {**CONFIG, "study": {"data_scale": "odd"}}, {**CONFIG, "analysis": {"technical_aggregation": "sum"}}):
         with pytest.raises(ValueError):
             check_config(bad)

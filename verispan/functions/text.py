@@ -37,7 +37,7 @@ def normalize_doi(text: Column) -> Column:
     """The bare lower-case DOI, or null if the text is none; parentheses are kept."""
     decoded = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
     ends = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(decoded, text), ends, ""), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:)[\s\p{Z}]*", "")
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(decoded, text), ends, ""), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi[\s\p{Z}]*:)[\s\p{Z}]*", "")
     bare = F.lower(F.regexp_replace(bare, r"[.,;]+$", ""))
     return F.when(bare.rlike(r"^10\.[0-9]{4,9}/[^\s\p{Z}]+$"), bare)
 

@@ -134,6 +134,14 @@ def paired_t(units: DataFrame, strata: Sequence[str], pair: str, group: str, tes
     return out.withColumn("p_value", t_pvalue("statistic", "df")).drop("var", "ambiguous")
 
 
+def paired_differences(units: DataFrame, strata: Sequence[str], pair: str, group: str, test: str, reference: str, value: str = "value") -> DataFrame:
+    """``strata, pair, d``: test minus reference of each pair that has exactly one unit of either."""
+    side = lambda g, a: F.max(F.when(F.col(group) == g, F.col(value))).alias(a)
+    n = lambda g: F.count_if((F.col(group) == g) & F.col(value).isNotNull())
+    both = units.filter(F.col(pair).isNotNull() & F.col(group).isin(test, reference)).groupBy(*strata, pair).agg(side(test, "t"), side(reference, "r"), n(test).alias("nt"), n(reference).alias("nr"))
+    return both.filter("nt = 1 and nr = 1").select(*strata, pair, (F.col("t") - F.col("r")).alias("d"))
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """``df`` with average ranks (ties share their mean rank) of ``value`` within ``by``, a bounded stratum."""
     w = W.partitionBy(*by).orderBy(value)

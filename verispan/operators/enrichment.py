@@ -39,3 +39,7 @@ def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFra
     out = rows.withColumn("p_value", p).drop("lf")
     return bh_adjust(out, [], "p_value")
 
+
+def outside_universe(selected: DataFrame, universe: DataFrame) -> DataFrame:
+    """The distinct selected genes that were not measured."""
+    return selected.select("gene").distinct().join(universe.select("gene").distinct(), "gene", "left_anti")

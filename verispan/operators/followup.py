@@ -114,3 +114,14 @@ def archive(spark: SparkSession, library: str, new: DataFrame, key: str, order:
     path = f"{library}/state={max(states, default=0) + 1}"
     kept.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def rollup(queries: DataFrame, blocked: bool = False, offline: bool = False) -> DataFrame:
+    """The status of a follow-up over its ``queries`` (status): blocked, without signals, offline and out of budget come before the outcome."""
+    c = lambda *s: F.count_if(F.col("status").isin(*s))
+    one = queries.agg(F.count("*").alias("n"), c("budget_exhausted").alias("short"), c("failed").alias("failed"), c("failed", "partial").alias("worse"))
+    status = (
+        F.when(F.lit(blocked), "qc_blocked").when(F.col("n") == 0, "no_eligible_signal").when(F.lit(offline), "pending_offline").when(F.col("short") > 0, "budget_exhausted")
+        .when(F.col("failed") == F.col("n"), "retrieval_failed").when(F.col("worse") > 0, "retrieval_partial_requires_evidence_reading").otherwise("retrieval_completed_requires_evidence_reading")
+    )
+    return one.select("n", status.alias("status"))

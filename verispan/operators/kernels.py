@@ -305,10 +305,10 @@ def mixed_trend(units: DataFrame, strata: Sequence[str], unit: str, time: str, b
     return rows.groupBy(*strata).applyInPandas(run, ", ".join(f"`{s}` {kinds[s]}" for s in strata) + ", units long, times long, slope double, standard_error double, p_value double, method string")
 
 
-def count_contrasts(counts: DataFrame, gene: str, sample: str, group: str, test: str, reference: str, count: str = "value", min_total: int = 10) -> DataFrame:
+def count_contrasts(counts: DataFrame, gene: str, sample: str, group: str, test: str, reference: str, count: str = "value", min_total: int = 10, min_genes: int = 1) -> DataFrame:
     """Negative-binomial log2 fold change per gene over a complete gene x sample matrix.
 
-    Refuses gaps, non-integral or negative counts and empty libraries. Size factors come from one
+    Refuses gaps, non-integral or negative counts, empty libraries and fewer than ``min_genes`` genes of at least ``min_total``. Size factors come from one
     aggregate over genes (median of ratios per sample), so only one gene's samples meet in a task.
     Estimates are maximum likelihood with the dispersion of each gene; nothing is shrunken.
     """
@@ -321,6 +321,8 @@ def count_contrasts(counts: DataFrame, gene: str, sample: str, group: str, test:
     if ratios.count() != shape["samples"]:
         raise ValueError("every gene has a zero: no size factors")
     totals = live.groupBy("gene").agg(F.sum("y").alias("t")).filter(F.col("t") >= min_total)
+    if totals.limit(min_genes).count() < min_genes:
+        raise ValueError(f"fewer than {min_genes} genes with enough counts")
     rows = live.join(totals.select("gene"), "gene", "left_semi").join(ratios, "sample")
     kind = dict(live.dtypes)["gene"]
 

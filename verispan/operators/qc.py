@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,8 +32,12 @@ def batch_confounding(obs: DataFrame, scope: Sequence[str], batch: str, group: s
     return out.withColumn("confounded", (F.col("batches") > 1) & (F.col("batches") == F.col("single_group_batches")))
 
 
-def issues(obs: DataFrame, run: str, feature: str, group: str, unit: str, technical: str, batch: str, value: str, aggregation: str | None, adjust_batch: bool = False, counts: bool = False) -> DataFrame:
-    """``severity, code, cases`` of each gate that fires; cases counts what broke it."""
+def issues(obs: DataFrame, run: str, feature: str, group: str, unit: str, technical: str, batch: str, value: str, aggregation: str | None, adjust_batch: bool = False, counts: bool = False, annotations: Sequence[str] = ()) -> DataFrame:
+    """``severity, code, cases`` of each gate that fires; cases counts what broke it.
+
+    ``annotations`` are further columns that must not differ within a unit (pair, symbol,
+    accession); symbol and accession must not differ within a feature either.
+    """
     key = [run, feature, group, unit]
     parts = [
         conflicts(obs, [run, unit], group).agg(*_issue("blocking", "unit_cross_group", F.count("*"))),
@@ -41,6 +45,11 @@ def issues(obs: DataFrame, run: str, feature: str, group: str, unit: str, techni
         repeated_floor(obs, [run], value).filter("repeated_floor").agg(*_issue("warning", "repeated_floor", F.count("*"))),
         batch_confounding(obs, [run], batch, group).filter("confounded").agg(*_issue("blocking", "batch_group_confounding", F.count("*"))),
     ]
+    parts += [conflicts(obs, key, c).agg(*_issue("blocking", f"conflicting_{c}", F.count("*"))) for c in annotations]
+    named = [c for c in annotations if c in ("symbol", "accession")]
+    if named:
+        many = F.greatest(*[F.countDistinct(c) for c in named], F.lit(0)).alias("n")
+        parts.append(obs.groupBy(feature).agg(many).filter("n > 1").agg(*_issue("blocking", "feature_identity_conflict", F.count("*"))))
     if aggregation is None:
         parts.append(obs.groupBy(*key).count().filter("count > 1").agg(*_issue("blocking", "technical_replicates", F.count("*"))))
     if not adjust_batch:
@@ -52,3 +61,8 @@ def issues(obs: DataFrame, run: str, feature: str, group: str, unit: str, techni
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.filter("cases > 0")
+
+
+def count_model_issue(spark: SparkSession, reason: str) -> DataFrame:
+    """The issue of counts for which no model could be fitted."""
+    return spark.range(1).select(*_issue("blocking", "count_model_unavailable", F.lit(1)), F.lit(reason).alias("detail"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispan.functions.text import normalize_title, squeeze
-from verispan.scale import written
+from verispan.scale import attach, written
 
 ID_ORDER = ("pmid", "pmcid", "arxiv", "openalex", "s2")
 KEYS = ("doi", *ID_ORDER)
@@ -44,32 +45,76 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+MOST_TOGETHER = 500_000
+"""Distinct identities of one component are folded in one task; more, which only a stand-in identifier can tie together, are refused."""
 FOLD = "ord long, kept_ord long, merged boolean"
 
 
+class Kept:
+    """Kept records by what can lead to them, so that a record meets only those it may join."""
+
+    def __init__(self) -> None:
+        self.ids: dict[int, dict[str, str]] = {}
+        self.blocks: dict[int, str | None] = {}
+        self.by_id: dict[tuple[str, str], dict[tuple[str | None, str | None], list[int]]] = {}
+        self.by_block: dict[str, int] = {}
+
+    @staticmethod
+    def vetoes(ids: dict[str, str]) -> tuple[str | None, str | None]:
+        return ids.get("doi"), ids.get("arxiv")
+
+    def file(self, ord_: int, names: dict[str, str]) -> None:
+        at = self.vetoes(self.ids[ord_])
+        for item in names.items():
+            heapq.heappush(self.by_id.setdefault(item, {}).setdefault(at, []), ord_)
+
+    def first(self, ids: dict[str, str], block: str | None) -> int | None:
+        """The first kept record that shares an identifier and has no other DOI or preprint id; without identifiers, of the same title."""
+        if not ids:
+            return self.by_block.get(block) if block is not None else None
+        doi, arxiv = self.vetoes(ids)
+        best = None
+        for item in ids.items():
+            found = self.by_id.get(item)
+            if not found:
+                continue
+            if doi and arxiv:
+                fits = [(d, x) for d in (doi, None) for x in (arxiv, None)]
+            else:  # a record without DOI or preprint id may join any
+                fits = [k for k in found if (not doi or k[0] in (doi, None)) and (not arxiv or k[1] in (arxiv, None))]
+            for k in fits:
+                heap = found.get(k, [])
+                while heap and self.vetoes(self.ids[heap[0]]) != k:  # has gained an id since
+                    heapq.heappop(heap)
+                if heap and (best is None or heap[0] < best):
+                    best = heap[0]
+        return best
+
+    def add(self, ord_: int, ids: dict[str, str], block: str | None) -> None:
+        self.ids[ord_], self.blocks[ord_] = dict(ids), block
+        self.file(ord_, ids)
+        if not ids and block is not None:
+            self.by_block.setdefault(block, ord_)
+
+    def merge(self, target: int, ids: dict[str, str], block: str | None) -> None:
+        before = self.vetoes(self.ids[target])
+        gained = {k: v for k, v in ids.items() if k not in self.ids[target]}
+        self.ids[target] |= gained
+        self.file(target, self.ids[target] if self.vetoes(self.ids[target]) != before else gained)
+
+
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """Records of one component in order, each merged into the first kept record that it may join."""
-    kept: list[dict] = []
-    out = []
+    kept, out = Kept(), []
     for r in pdf.sort_values("ord").itertuples(index=False):
         ids = {k: v for k, v in (r.ids if isinstance(r.ids, dict) else dict(r.ids or [])).items() if v}
-        target = None
-        for k in kept:
-            if any(ids.get(x) and k["ids"].get(x) and ids[x] != k["ids"][x] for x in ("doi", "arxiv")):
-                continue
-            if any(ids.get(x) and ids[x] == k["ids"].get(x) for x in KEYS):
-                target = k
-                break
-            if not ids and not k["ids"] and r.title_block is not None and r.title_block == k["title_block"]:
-                target = k
-                break
+        target = kept.first(ids, r.title_block)
         if target is None:
-            kept.append({"ord": r.ord, "ids": ids, "title_block": r.title_block})
+            kept.add(r.ord, ids, r.title_block)
             out.append((r.ord, r.ord, False))
         else:
-            target["ids"] = {**ids, **target["ids"]}
-            target["title_block"] = target["title_block"] or r.title_block
-            out.append((r.ord, target["ord"], True))
+            kept.merge(target, ids, r.title_block)
+            out.append((r.ord, target, True))
     return pd.DataFrame(out, columns=["ord", "kept_ord", "merged"])
 
 
@@ -85,18 +130,26 @@ def deduplicate(records: DataFrame, order: str, doi: Column, identifiers: Column
     words = normalize_title(F.col(title))
     block = F.when((F.length(words) > 24) & (F.col(year) > 0) & (first_author != ""), F.concat_ws("\x1f", words, F.col(year).cast("string"), F.lower(first_author)))
     rows = records.select(F.col(order).cast("long").alias("ord"), ids.alias("ids"), block.alias("title_block"))
+    # a title decides only where there is no identifier
+    rows = rows.withColumn("title_block", F.when(F.size("ids") == 0, F.col("title_block")))
     rows = rows.withColumn("identity", F.sha2(F.to_json(F.struct(F.array_sort(F.map_entries("ids")).alias("i"), "title_block")), 256))
     rows = rows.withColumn("identity", F.when((F.size("ids") > 0) | F.col("title_block").isNotNull(), F.col("identity")).otherwise(F.col("ord").cast("string")))
-    rows = written(rows, "record-identities")
-    first = rows.groupBy("identity").agg(F.min("ord").alias("ord"), F.min_by("ids", "ord").alias("ids"), F.min_by("title_block", "ord").alias("title_block"))
-    by_id = first.select(F.col("ord").alias("node"), F.explode(F.transform(F.map_entries("ids"), lambda e: F.concat_ws("=", e["key"], e["value"]))).alias("block"))
-    by_title = first.filter((F.size("ids") == 0) & F.col("title_block").isNotNull()).select(F.col("ord").alias("node"), F.concat(F.lit("title="), "title_block").alias("block"))
-    comp = components(by_id.unionByName(by_title))
-    size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    many = first.join(comp, F.col("ord") == F.col("node")).join(size.filter("n > 1"), "component").select("component", "ord", "ids", "title_block")
+    rows = written(rows.select("ord", "ids", "title_block", "identity"), "record-identities")
+    first = rows.groupBy("identity").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.min_by("ids", "ord").alias("ids"))
+    # titles tie no two identities: equal ones are one identity
+    edges = first.select(F.col("ord").alias("node"), F.explode(F.transform(F.map_entries("ids"), lambda e: F.xxhash64(e["key"], e["value"]))).alias("block"))
+    edges = written(edges, "identity-blocks")
+    shared = edges.groupBy("block").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    edges = attach(edges, shared.select("block", "first"), ["block"], "inner").select("node", "block")
+    comp = written(components(edges), "record-components")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_TOGETHER).limit(1).collect()
+    if sizes:
+        raise ValueError(f"{sizes[0]['n']} records hang together by shared identifiers: an identifier stands in for missing ones")
+    many = first.join(comp, F.col("ord") == F.col("node")).select("component", "ord", "ids", F.lit(None).cast("string").alias("title_block"))
     folded = many.groupBy("component").applyInPandas(_fold, FOLD)
-    first = first.select("identity", "ord").join(folded.select("ord", "kept_ord"), "ord", "left").select("identity", F.coalesce("kept_ord", "ord").alias("kept_order"))
-    return rows.join(first, "identity").select(F.col("ord").alias(order), "kept_order", (F.col("ord") != F.col("kept_order")).alias("merged"))
+    kept = first.join(folded.select("ord", "kept_ord"), "ord", "left").select("identity", F.coalesce("kept_ord", "ord").alias("kept_order"), "n")
+    out = attach(rows.select("ord", "identity"), kept, ["identity"], weight="n")
+    return out.select(F.col("ord").alias(order), "kept_order", (F.col("ord") != F.col("kept_order")).alias("merged"))
 
 
 def prioritize(records: DataFrame, keywords: Sequence[str], text: Sequence[str], year: str, citations: str, now: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verispan.operators.kernels import t_margin
+
 
 def technical_aggregate(obs: DataFrame, keys: Sequence[str], value: str = "value", how: str = "mean", annotations: Sequence[str] = (), order: str | None = None, lists: Sequence[str] = ()) -> DataFrame:
     """One row per unit key: the aggregated value, the number of observed technical values, rows.
@@ -61,14 +63,25 @@ def melt(df: DataFrame, ids: Sequence[str], samples: Sequence[str], sample: str
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Per column: missing, distinct and numeric values."""
+    """Per column: missing, distinct and numeric values; ``duplicate_rows`` counts the further copies of whole rows."""
     parts = []
     for c, kind in df.dtypes:
         text = F.col(c).cast("string") if not kind.startswith(("array", "map", "struct")) else F.to_json(F.struct(c))
         number = F.expr(f"try_cast(cast(`{c}` as string) as double)") if not kind.startswith(("array", "map", "struct")) else F.lit(None)
         parts.append(F.struct(F.lit(c).alias("column_name"), F.count_if(F.col(c).isNull()).alias("missing"), F.countDistinct(text).alias("distinct_values"), F.count(number).alias("numeric_values")))
     one = df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
-    return one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(parts))])).alias("p")).select("p.*")
+    rows = one.select(F.explode(F.array(*[F.col(f"c{i}") for i in range(len(parts))])).alias("p")).select("p.*")
+    whole = [F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)]
+    copies = df.groupBy(*whole).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
+    return rows.crossJoin(F.broadcast(copies))  # one row
+
+
+def figure_summary(units: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
+    """What a figure shows per group (and time): n, mean, standard deviation, standard error and the 95 % interval of the mean."""
+    out = units.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).filter("n > 0")
+    out = out.withColumn("sem", F.col("sd") / F.sqrt("n"))
+    half = F.when(F.col("n") > 1, t_margin(F.when(F.col("n") > 1, (F.col("n") - 1).cast("double"))) * F.col("sem"))
+    return out.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 
 def metadata_join_checks(obs: DataFrame, meta: DataFrame, key: str) -> DataFrame:

@@ -19,7 +19,7 @@ def normalize_doi(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ENDS = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
-_DOI = rf"""regexp_replace(regexp_replace(url_decode(doi), {_ENDS}), '^(?:https?://(?:dx\.)?doi\.org/|doi:)[\s\p{{Z}}]*', '', 'i')"""
+_DOI = rf"""regexp_replace(regexp_replace(url_decode(doi), {_ENDS}), '^(?:https?://(?:dx\.)?doi\.org/|doi[\s\p{{Z}}]*:)[\s\p{{Z}}]*', '', 'i')"""
 _DOI = rf"lower(regexp_replace({_DOI}, '[.,;]+$', ''))"
 _IS_DOI = rf"regexp_full_match({_DOI}, '10\.[0-9]{{4,9}}/[^\s\p{{Z}}]+')"
 
@@ -47,14 +47,18 @@ i as (select rec_no, title, year, journal, authors, nd, identifiers['arxiv'] as
 r as (select *, coalesce(case when regexp_matches(arxiv, 'v[0-9]+$') then 'arxiv:' || arxiv end, 'doi:' || nd, 'pmid:' || nullif(pmid, ''), 'pmcid:' || nullif(pmcid, ''), 'arxiv:' || nullif(arxiv, ''), 'openalex:' || nullif(openalex, ''), 's2:' || nullif(s2, ''), 'rec:' || substr(sha256(concat_ws('|', title, cast(year as varchar))), 1, 20)) as record_id from i)"""
 
 
-def record_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Which earlier record each record is merged into, in the order of rec_no."""
-    rec = _with_ids(spark, d)
+def dedupe_map(rec: DataFrame) -> DataFrame:
+    """``rec_no, kept_order, merged`` of records with their DOI."""
     first = F.get("authors", F.lit(0))
     name = F.concat_ws(" ", first["given"], first["family"])
     return records.deduplicate(rec, "rec_no", F.col("doi"), F.col("identifiers"), "title", "year", name)
 
 
+def record_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Which earlier record each record is merged into, in the order of rec_no."""
+    return dedupe_map(_with_ids(spark, d))
+
+
 def prioritize_records(spark: SparkSession, d: str) -> DataFrame:
     """Records ranked by keywords, recency and citations."""
     out = records.prioritize(table(spark, d, "records"), KEYWORDS, ["title"], "year", "citation_count", 2026)
@@ -228,8 +232,12 @@ def redact_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def math_structure(spark: SparkSession, d: str) -> DataFrame:
-    """Unbalanced math delimiters in documents."""
-    return documents.math_issues(table(spark, d, "documents"), "doc_id", "text")
+    """Unbalanced math delimiters in documents that open with a formula."""
+    opening = F.element_at(F.array(*[F.lit(x) for x in OPENINGS]), (F.col("doc_id") % 3 + 1).cast("int"))
+    return documents.math_issues(table(spark, d, "documents").select("doc_id", F.concat(opening, "text").alias("text")), "doc_id", "text")
+
+
+OPENINGS = ("\\(a $b$ \\]\n", "$$c$$ % $\n```\n$\n```\n", "\\begin{x}\n\\$ \\end{y}\n")
 
 
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -242,19 +250,12 @@ def local_scan(spark: SparkSession, d: str) -> DataFrame:
     return documents.bounded_scan(table(spark, d, "observations").select("obs_id", "feature", "group_name", "value"), "obs_id", {"feature": "HKG1", "group_name": "treated"}, 20, 50_000)
 
 
-def journal_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Records by the scope of their journal."""
-    rec = table(spark, d, "records")
-    j = F.concat(F.lit("Trends in "), "journal")
-    return rec.groupBy(*[T.in_scope(j, s).alias(s) for s in ("flagship", "nature", "cns")]).agg(F.count("*").alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_doi, normalize_title, record_ids, record_dedupe, prioritize_records, author_parts, compare_metadata, export_ris, export_csv, export_enw, export_bibtex, export_rdf, import_references,
         screening_flow, exclusion_reasons, init_claims, numeric_check, anchored_evidence, reader_coverage, publication_month, month_merge, independent_support, json_select, json_compact, redact_url,
-        math_structure, text_blocks, local_scan, journal_scope,
+        math_structure, text_blocks, local_scan,
     )
 }
 _BLOCKS = r"""with b as (select doc_id, regexp_split_to_array(text, '\n\s*\n') as parts from documents where text is not null),
@@ -291,6 +292,6 @@ select rec_no, months, evidence, case when months = 0 then 'unresolved' when mon
     "redact_url": "select check_id, 'https://api.example/' || provider || '?q=' || check_id || '&api_key=REDACTED&email=REDACTED#top' as url from database_checks",
     "local_scan": """with o as (select *, row_number() over (order by obs_id) as rn from observations), h as (select obs_id, feature, group_name, value, rn from o where rn <= 50000 and feature = 'HKG1' and group_name = 'treated' order by rn limit 20)
 select obs_id, feature, group_name, value, case when (select count(*) from h) = 20 then (select max(rn) from h) else least(50000, (select count(*) from o)) end as scanned_rows, (select count(*) from h) = 20 or (select count(*) from o) >= 50000 as truncated from h""",
-    "journal_scope": "select false as flagship, false as nature, coalesce(trim(regexp_replace(journal, '[\\s\\p{Z}]+', ' ', 'g')) <> '', false) as cns, count(*) as n from records group by all",
+    "math_structure": "select doc_id, line, issue, token from (values (0, 1, 'unmatched_close', '\\]'), (0, 1, 'unclosed', '\\('), (2, 2, 'unmatched_close', '\\end{y}'), (2, 1, 'unclosed', '\\begin{x}')) v(k, line, issue, token) join documents on doc_id % 3 = k where text is not null",
 }
 SQL = {k: rounded_sql(v) for k, v in SQL.items()}

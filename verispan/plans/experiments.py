@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verispan.functions.stats import normal_pvalue_sql, rounded, rounded_sql, t_pvalue_sql
 from verispan.operators import contrasts as C
-from verispan.operators import enrichment, kernels, qc
+from verispan.operators import enrichment, followup, kernels, qc
 from verispan.operators import units as U
 from verispan.session import table
 
@@ -237,7 +237,7 @@ def table_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROFILE = " union all ".join(
-    f"select '{c}' as column_name, count(*) filter (where {c} is null) as missing, count(distinct cast({c} as varchar)) as distinct_values, count(try_cast(cast({c} as varchar) as double)) as numeric_values from customer"
+    f"select '{c}' as column_name, count(*) filter (where {c} is null) as missing, count(distinct cast({c} as varchar)) as distinct_values, count(try_cast(cast({c} as varchar) as double)) as numeric_values, (select count(*) from customer) - (select count(*) from (select distinct * from customer)) as duplicate_rows from customer"
     for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 )
 
@@ -250,13 +250,8 @@ def metadata_join_checks(spark: SparkSession, d: str) -> DataFrame:
 
 def signals_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten strongest signals, one per feature, in the order q, kind, feature."""
-    from pyspark.sql import Window as W
-
-    rows = C.bh_adjust(_contrast_rows(spark, d), ["contrast"]).filter("status = 'tested' and q_value <= 0.05")
-    rows = rows.select(F.lit("differential").alias("kind"), "feature", "run_id", "contrast", "q_value")
-    rows = rounded(rows, "q_value")
-    first = W.partitionBy("feature").orderBy("q_value", "kind", "run_id", "contrast")
-    return rows.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn").orderBy("q_value", "kind", "feature").limit(10)
+    rows = C.classify(C.bh_adjust(_contrast_rows(spark, d), ["contrast"]), detection=("detection_test", "detection_reference"))
+    return followup.choose_signals(rounded(rows, "q_value").select("feature", "q_value", "signal_class"), most=10)
 
 
 def rank_tests_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -336,7 +331,6 @@ select feature, group_name, units, times, n, round(case when units >= 4 and time
     "wide_to_long": "select o_custkey, o_orderstatus, round(sum(o_totalprice), 6) as total from orders where o_orderstatus in ('F', 'O', 'P') group by all",
     "table_profile": _PROFILE,
     "metadata_join_checks": "select (select count(*) from events where user_id not in (select c_custkey from customer)) as rows_without_metadata, (select count(distinct user_id) from events where user_id not in (select c_custkey from customer)) as keys_without_metadata, (select count(*) from customer where c_custkey not in (select user_id from events)) as metadata_without_rows, (select count(*) from (select 1 from customer group by c_custkey having count(*) > 1)) as duplicate_metadata_keys",
-    "signals_topk": f"""with {_MOMENTS}, {_bh('rows3', 'contrast')}, g as (select 'differential' as kind, feature, run_id, contrast, round(q_value, 6) as q_value from adjusted where status = 'tested' and q_value <= 0.05),
-h as (select *, row_number() over (partition by feature order by q_value, kind, run_id, contrast) as rn from g) select kind, feature, run_id, contrast, q_value from h where rn = 1 order by q_value, kind, feature limit 10""",
+    "signals_topk": f"with c as ({CONTRAST_SQL}) select 'differential' as kind, feature, q_value from c where signal_class = 'statistical_signal' qualify row_number() over (partition by feature order by q_value) = 1 order by q_value, feature limit 10",
 }
 SQL = {k: rounded_sql(v) for k, v in SQL.items()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verispan.plans import evidence, experiments, problems
+from verispan.plans import corpora, evidence, experiments, problems
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**experiments.QUERIES, **evidence.QUERIES, **problems.QUERIES}
-SQL: dict[str, str] = {**experiments.SQL, **evidence.SQL, **problems.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**experiments.QUERIES, **evidence.QUERIES, **corpora.QUERIES, **problems.QUERIES}
+SQL: dict[str, str] = {**experiments.SQL, **evidence.SQL, **corpora.SQL, **problems.SQL}
