@@ -87,8 +87,8 @@ def test_star_clusters_against_brute_force(spark):
     rnd = random.Random(2)
     names_ = [f"v{i:02d}" for i in range(40)]
     pairs = [(a, b, round(rnd.random(), 3)) for a, b in itertools.combinations(names_, 2) if rnd.random() < 0.08]
-    rows = [("g", a, b, s, a, b) for a, b, s in pairs] + [("g", b, a, s, b, a) for a, b, s in pairs]
-    df = spark.createDataFrame(rows, "group_id string, u string, v string, score double, pu string, pv string")
+    rows = [(a, b, s, a, b) for a, b, s in pairs] + [(b, a, s, b, a) for a, b, s in pairs]
+    df = spark.createDataFrame(rows, "u string, v string, score double, pu string, pv string")
     near = {}
     for a, b, s in pairs:
         near.setdefault(a, {})[b] = s
@@ -102,6 +102,26 @@ def test_star_clusters_against_brute_force(spark):
     assert names.star_clusters(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("split", [256, 2])
+def test_candidates_against_all_pairs(spark, data, monkeypatch, split):
+    """Recall of the blocks over every pair of forms of an affiliation that the verifier accepts; splitting blocks loses none."""
+    monkeypatch.setattr(names, "SPLIT", split)
+    people = spark.read.parquet(f"{data}/../sf0.01/records.parquet").selectExpr("explode(authors) as a").select("a.*")
+    forms = names.name_forms(people, "affiliation_id", "family", "given")[1]
+    groups = {}
+    for r in forms.collect():
+        groups.setdefault(r.group_id, []).append(r)
+    want = set()
+    for rows in groups.values():
+        for a, b in itertools.combinations(rows, 2):
+            same = {a.kind, b.kind} == {"a", "o"} and a.acronym == b.acronym
+            if same or a.kind == b.kind == "p" and names.person_score(a.long, a.initials, b.long, b.initials) >= 0.85 or a.kind == b.kind == "o" and names.organisation_score(a.long, b.long) >= 0.85:
+                want.add((min(a.id, b.id), max(a.id, b.id)))
+    got = [tuple(r) for r in names.candidate_pairs(forms).collect()]
+    assert len(got) == len(set(got)) and len(want) > 100
+    assert len(want & set(got)) >= 0.99 * len(want)
+
+
 def test_entities(spark):
     long = "Name" * 5_000
     rows = [("A", "Moostova", "Asel", 1), ("A", "MOOSTOVA", "Asel", 1), ("A", "MOOSTOVA", "Asel", 1), ("A", "Moostova", "A.", 1), ("A", "Moostova", "Ingrid", 1), ("B", "Moostova", "Asel", 1), (None, "Moostova", "Asel", 1),

@@ -2,8 +2,9 @@
 
 Distinct spellings are reduced to forms (case, accents, order and nicknames resolved), so formatting
 variants cost nothing further. Forms find each other by MinHash bands over the padded q-grams of
-their name tokens, and by exact keys where one typo leaves few q-grams; candidates are verified token by token (Monge-Elkan with rules for initials,
-nicknames and conflicting names) and grouped by star clustering.
+their name tokens, and by exact keys where one typo leaves few q-grams; candidates are verified
+token by token (Monge-Elkan with rules for initials, nicknames and conflicting names) and grouped by
+star clustering.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ROWS = 2
 SIMILAR = 0.4
 """Jaccard similarity of padded bigrams from which the bands find two spellings of one token; below it ``near_keys`` do."""
 RECALL = 0.985
+SPLIT = 256
+"""A block of more forms is cut into parts of about so many; every pair of parts is a task of its own, so no pair is lost."""
 LONG = 32
 """Tokens of so many letters are found by their ends, shorter ones by their deletions."""
 
@@ -266,22 +269,30 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each form under each band and near key of each of its tokens, together with an initial of another token."""
+    """Each form under each band and near key of each of its tokens, together with an initial of another token and the group."""
+    mask = (1 << 64) - 1
+
+    def block(group: int, key: int, initial: str) -> int:
+        return ((key * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest(initial, group & mask)) & mask) - (1 << 63)
+
     for pdf in batches:
-        rows = []
-        for g, form, kind, long, initials, acronym in zip(pdf["group_id"], pdf["form"], pdf["kind"], pdf["long"], pdf["initials"], pdf["acronym"]):
+        ids: list[int] = []
+        blocks: list[int] = []
+        for id_, g, kind, long, initials, acronym in zip(pdf["id"], pdf["group_id"], pdf["kind"], pdf["long"], pdf["initials"], pdf["acronym"]):
+            group, found = xxhash.xxh64_intdigest(g), set()
             if acronym is not None:
-                rows.append((g, form, 0, "=" + acronym))
-            if kind == "a":
-                continue
+                found.add(block(group, 0, "=" + acronym))
             if kind == "o":
-                rows += [(g, form, k, "o") for k in band_keys(" ".join(long))]
-                continue
-            for i, t in enumerate(long):
-                rest = {n[0] for j, x in enumerate(long) if j != i for n in full_names(x)} | set(initials)
-                if rest and len(t) > 1:
-                    rows += [(g, form, k, r) for k in {*band_keys(t), *near_keys(t)} for r in rest]
-        yield pd.DataFrame(rows, columns=["group_id", "form", "band", "initial"])
+                found |= {block(group, k, "o") for k in band_keys(" ".join(long))}
+            if kind == "p":
+                for i, t in enumerate(long):
+                    rest = {n[0] for j, x in enumerate(long) if j != i for n in full_names(x)} | set(initials)
+                    if rest and len(t) > 1:
+                        keys = {*band_keys(t), *near_keys(t)}
+                        found |= {block(group, k, r) for k in keys for r in rest}
+            blocks += found
+            ids += [id_] * len(found)
+        yield pd.DataFrame({"block": np.array(blocks, np.int64), "id": np.array(ids, np.int64)})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,17 +306,33 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 scores.append(organisation_score(la, lb))
             else:
                 scores.append(0.9 if {ka, kb} == {"a", "o"} else 0.0)
-        yield pd.DataFrame({"group_id": pdf["group_id"], "u": pdf["u"], "v": pdf["v"], "score": scores})
+        yield pd.DataFrame({"u": pdf["u"], "v": pdf["v"], "score": scores})
+
+
+def candidate_pairs(forms: DataFrame) -> DataFrame:
+    """``u, v``: the distinct pairs of form ids (u < v) that share a block.
+
+    A block of more than ``SPLIT`` forms is cut into parts; its pairs are the pairs of parts, each
+    joined under a key of its own, so a block of any size is spread and loses nothing.
+    """
+    blocks = written(spread(forms.select("id", "group_id", "kind", "long", "initials", "acronym")).mapInPandas(_blocks, "block long, id long"), "name-blocks")
+    large = blocks.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
+    rows = attach(blocks, large, ["block"]).withColumn("parts", F.coalesce(F.ceil(F.col("n") / SPLIT), F.lit(1)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    a = rows.select("block", F.col("id").alias("a"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    b = rows.select("block", F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    pairs = a.join(b, ["block", "i", "j"]).filter("a <> b and (i < j or a < b)")
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
 def star_clusters(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``group_id, v, center`` for every vertex of ``edges`` (group_id, u, v, score, pu, pv, both directions).
+    """``v, center`` for every vertex of ``edges`` (u, v, score, pu, pv, both directions).
 
     Vertices are taken by falling priority; one that is not adjacent to a center becomes a center.
     Each round settles all vertices without an unsettled neighbour of higher priority at once, which
     gives the same stars as one by one. A satellite joins its most similar center.
     """
-    key = ["group_id", "v"]
+    key = ["v"]
     open_edges, centers = edges, None
     for _ in range(most_rounds):
         state = open_edges.groupBy(*key).agg(F.max("pv").alias("own"), F.max("pu").alias("best"))
@@ -313,9 +340,9 @@ def star_clusters(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new.isEmpty():
             break
         centers = new if centers is None else centers.unionByName(new)
-        hit = open_edges.join(new.select("group_id", F.col("v").alias("u")), ["group_id", "u"], "left_semi").select(*key).distinct()
+        hit = open_edges.join(new.select(F.col("v").alias("u")), ["u"], "left_semi").select(*key).distinct()
         gone = new.unionByName(hit)
-        left = open_edges.join(gone, key, "left_anti").join(gone.select("group_id", F.col("v").alias("u")), ["group_id", "u"], "left_anti")
+        left = open_edges.join(gone, key, "left_anti").join(gone.select(F.col("v").alias("u")), ["u"], "left_anti")
         # a vertex whose open neighbours are all settled otherwise is a center of its own
         alone = open_edges.select(*key, F.col("pv")).distinct().join(gone, key, "left_anti").join(left.select(*key).distinct(), key, "left_anti")
         centers = centers.unionByName(written(alone.select(*key), "star-alone"))
@@ -324,11 +351,22 @@ def star_clusters(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError("star clustering did not end")
     if centers is None:
         return edges.select(*key, F.col("v").alias("center"))
-    to = edges.join(centers.select("group_id", F.col("v").alias("u")), ["group_id", "u"], "left_semi")
+    to = edges.join(centers.select(F.col("v").alias("u")), ["u"], "left_semi")
     joined = to.join(centers, key, "left_anti").groupBy(*key).agg(F.max(F.struct("score", "pu", "u")).alias("best")).select(*key, F.col("best.u").alias("center"))
     return joined.unionByName(centers.select(*key, F.col("v").alias("center")))
 
 
+def name_forms(df: DataFrame, group: str, family: str, given: str) -> tuple[DataFrame, DataFrame]:
+    """(spellings, forms): distinct spellings with their form, and distinct forms with an ``id``."""
+    rows = df.select(F.col(group).cast("string").alias("group_id"), F.col(family).alias("family"), F.coalesce(F.col(given), F.lit("")).alias("given"))
+    rows = rows.filter(F.col("group_id").isNotNull() & (F.trim("family") != "")).groupBy("group_id", "family", "given").agg(F.count("*").alias("n"))
+    spellings = written(rows.mapInPandas(_forms, FORM), "spellings")
+    forms = spellings.groupBy("group_id", "form").agg(
+        F.sum("n").alias("n"), F.min("kind").alias("kind"), F.first("long").alias("long"), F.first("initials").alias("initials"), F.min("acronym").alias("acronym")
+    )
+    return spellings, written(forms.withColumn("id", F.monotonically_increasing_id()), "forms")
+
+
 def name_entities(df: DataFrame, group: str = "affiliation_id", family: str = "family", given: str = "given") -> DataFrame:
     """``group_id, entity, spelling, n``: each distinct spelling (``family|given`` as stored) with its entity.
 
@@ -336,26 +374,21 @@ def name_entities(df: DataFrame, group: str = "affiliation_id", family: str = "f
     empty; equal spellings are one with their count; a spelling without a counterpart is an entity
     of its own; very long names are compared whole; an empty table gives an empty result.
     """
-    rows = df.select(F.col(group).cast("string").alias("group_id"), F.col(family).alias("family"), F.coalesce(F.col(given), F.lit("")).alias("given"))
-    rows = rows.filter(F.col("group_id").isNotNull() & (F.trim("family") != "")).groupBy("group_id", "family", "given").agg(F.count("*").alias("n"))
-    spellings = written(rows.mapInPandas(_forms, FORM), "spellings")
-    forms = spellings.groupBy("group_id", "form").agg(
-        F.sum("n").alias("n"), F.min("kind").alias("kind"), F.first("long").alias("long"), F.first("initials").alias("initials"), F.min("acronym").alias("acronym")
-    )
-    forms = written(forms, "forms")
-    blocks = spread(forms.select("group_id", "form", "kind", "long", "initials", "acronym")).mapInPandas(_blocks, "group_id string, form string, band long, initial string").distinct()
-    a, b = blocks.withColumnRenamed("form", "u"), blocks.withColumnRenamed("form", "v")
-    pairs = a.join(b, ["group_id", "band", "initial"]).filter("u < v").select("group_id", "u", "v").distinct()
-    info = forms.select("group_id", "form", F.struct("kind", "long", "initials").alias("f"), F.struct(F.size("long").alias("full"), "n", (F.length("form")).alias("chars"), "form").alias("p"))
-    pairs = pairs.join(info.select("group_id", F.col("form").alias("u"), F.col("f").alias("a"), F.col("p").alias("pu")), ["group_id", "u"])
-    pairs = pairs.join(info.select("group_id", F.col("form").alias("v"), F.col("f").alias("b"), F.col("p").alias("pv")), ["group_id", "v"])
-    scored = pairs.select("group_id", "u", "v", "a", "b").mapInPandas(_verify, "group_id string, u string, v string, score double").filter("score >= 0.85")
-    p = info.select("group_id", "form", "p")
-    half = scored.join(p.select("group_id", F.col("form").alias("u"), F.col("p").alias("pu")), ["group_id", "u"]).join(p.select("group_id", F.col("form").alias("v"), F.col("p").alias("pv")), ["group_id", "v"])
-    edges = written(half.select("group_id", "u", "v", "score", "pu", "pv").unionByName(half.select("group_id", F.col("v").alias("u"), F.col("u").alias("v"), "score", F.col("pv").alias("pu"), F.col("pu").alias("pv"))), "name-edges")
+    spellings, forms = name_forms(df, group, family, given)
+    info = forms.select("id", "group_id", F.struct("kind", "long", "initials").alias("f"), F.struct(F.size("long").alias("full"), "n", (F.length("form")).alias("chars"), "form").alias("p"))
+    side = lambda x, f: info.select(F.col("id").alias(x), F.col("group_id").alias(f"group_{x}"), F.col("f").alias(f))
+    pairs = candidate_pairs(forms).join(side("u", "a"), "u").join(side("v", "b"), "v").filter("group_u = group_v")
+    scored = pairs.select("u", "v", "a", "b").mapInPandas(_verify, "u long, v long, score double").filter("score >= 0.85")
+    p = info.select("id", "p")
+    half = scored.join(p.select(F.col("id").alias("u"), F.col("p").alias("pu")), "u").join(p.select(F.col("id").alias("v"), F.col("p").alias("pv")), "v")
+    half = written(half.select("u", "v", "score", "pu", "pv"), "name-pairs")
+    edges = written(half.unionByName(half.select(F.col("v").alias("u"), F.col("u").alias("v"), "score", F.col("pv").alias("pu"), F.col("pu").alias("pv"))), "name-edges")
     stars = star_clusters(edges)
-    named = spellings.join(stars.withColumnRenamed("v", "form"), ["group_id", "form"], "left")
-    return named.select("group_id", F.coalesce("center", "form").alias("entity"), "spelling", "n")
+    # centers by name: each form with the form of its center
+    named = forms.select("group_id", "form", "id").join(stars.withColumnRenamed("v", "id"), "id", "left")
+    centers = forms.select(F.col("id").alias("center"), F.col("form").alias("entity"))
+    named = named.join(centers, "center", "left").select("group_id", "form", F.coalesce("entity", "form").alias("entity"))
+    return attach(spellings, named, ["group_id", "form"]).select("group_id", "entity", "spelling", "n")
 
 
 def spelling_pairs(entities: DataFrame) -> DataFrame:
