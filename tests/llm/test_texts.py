@@ -226,3 +226,30 @@ def test_paragraphs(spark):
     assert text[1, 5, 1] == "The marker fell and the treatment was given with a time-course after the treatment."
     assert text[1, 6, 1].startswith("A signal rose in AB12Q5.") and text[1, 6, 2] == "G1 5 7\n27\nG2 7 9"
     assert (1, 6, 3) not in text and next(t for k, t in text.items() if k[0] == 9).endswith("without any delay.")
+
+
+def test_headers_with_lost_and_doubled_letters(spark):
+    """A head line differs from the one on most pages by a lost, a doubled or two wrong letters; a body line that differs more stays."""
+    heads = ["Annals of Airway Studies"] * 8 + ["Annals of Airwy Studies", "Annals of Aiirway Studies", "Amnals of Airvay Studies", "Anecdotes of Hallway Life"]
+    rows = [(1, i, f"B{i:05d}", f"page {i + 1}, text block 1", "text", f"{h}\nthe {w} cell of sample {w} grew in {w} serum\nand was counted by {w} hands on day {w}\nwhere {w} colonies were left\n") for i, (h, w) in enumerate(zip(heads, "one two six ten red blue warm cold wide thin long short".split()))]
+    df = spark.createDataFrame(rows, "source_id long, ordinal int, block_id string, locator string, kind string, original string")
+    found = {r.block_id for r in scans.scan_noise(df).filter("noise_kind = 'running_header' and line_no = 1").collect()}
+    assert found == {f"B{i:05d}" for i in range(11)}
+
+
+def test_changed_names_are_found(spark, data):
+    """Items whose names are replaced throughout, each name by another one: documents made of them are re-parameterised, none is lost."""
+    items = spark.read.parquet(f"{data}/eval_items.parquet")
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    ordinary = leakage.ordinary_words(docs, items, "doc_id", "item_id", "text")
+    names = {w for r in items.collect() for w in leakage.words_of(r.text) if leakage.slot(w, ordinary) == "$"}
+    assert {"fendrazole", "quelimab"} <= names and len(names) < len(ordinary)
+    fake = {w: f"zorb{''.join(chr(97 + int(d)) for d in str(i))}ix" for i, w in enumerate(sorted(names))}
+    some = [(r.item_id, " ".join(fake.get(w, w) for w in leakage.words_of(r.text))) for r in items.collect() if len(leakage.words_of(r.text)) >= 30]
+    changed = [(1_000_000 + k, t) for k, t in some if any(w in fake.values() for w in t.split())]
+    got = {(r.doc_id - 1_000_000, r.item_id) for r in leakage.leak_report(docs.unionByName(spark.createDataFrame(changed, "doc_id long, text string")), items).collect() if r.doc_id >= 1_000_000}
+    assert len(changed) > 50 and len({(k - 1_000_000, k - 1_000_000) for k, _ in changed} & got) >= 0.99 * len(changed)
+    # a window with a changed name in it is shared as well: the template has more windows than the words
+    shared = leakage.shared_windows(spark.createDataFrame(changed, "doc_id long, text string").unionByName(docs), items).filter("doc_id - 1000000 = item_id")
+    with_name = shared.filter(F.col("words") != F.col("item_words")).count()
+    assert with_name > 0.5 * sum(1 for k, t in changed for i in range(len(t.split()) - 11) if any(w in fake.values() for w in t.split()[i : i + 12]))

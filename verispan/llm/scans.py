@@ -5,7 +5,9 @@ within a page, so a source of any size is spread over many tasks; a word broken
 finds its second part by a join on the page number.
 
 Two spellings are confusable if they have the same ``fold``: letters that scanners mix up fall into
-one class. The fold makes fuzzy comparison a hash join, for header lines as for words.
+one class. The fold makes fuzzy comparison of words a hash join. Lines at page edges repeat fuzzily:
+their folds may differ by a few lost, doubled or wrong letters from a line that stands on many pages
+of the source, of which a source has a bounded number.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verispan.scale import attach, spread, written
+from verispan.scale import attach, fenced, spread, written
 
 # Letters that scanners read as two, which are spelled out first; then single characters by class.
 GROUPS = (("m", "rn"), ("w", "vv"), ("u", "ii"), ("d", "cl"))
@@ -24,11 +26,17 @@ HEADINGS_SHARE = 0.6
 """A line belongs to the page edge if so large a part of its occurrences in the corpus is there."""
 PAGES_SHARE = 0.25
 """A header of a source stands on at least so large a part of its pages; headers may alternate."""
+CENTER_SHARE = 0.1
+"""A line that fuzzy repetition is measured against stands unchanged on at least so large a part of the pages: at most 20 a side."""
 RATIO = 8
 """A word is misread if a confusable word is at least so many times as frequent."""
 WORD = r"[\p{L}\p{N}]++(?:[-‐][\p{L}\p{N}]++)*+"
 
 
+NUMBER_LINE = r"(?i)^[\[(\-–—|•.\s]*(?:page|p\.|pp\.|seite|pag\.)?\s*([0-9]{1,5})\s*[\])\-–—|•.\s]*(?:(?:/|of|von)\s*[0-9]{1,5}\s*)?$"
+NUMBER_HEAD = r"^\s*([0-9]{1,5})\s*(?:\||\s{2,}|[-–—]\s)\s*(?=\S)|(?<=\S)\s*(?:\||\s{2,}|\s[-–—])\s*([0-9]{1,5})\s*$"
+
+
 def fold(text: Column) -> Column:
     """The class string of a text in which confusable spellings are equal."""
     out = F.lower(F.replace(F.replace(text, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl")))
@@ -53,12 +61,18 @@ def page_lines(blocks: DataFrame, source: str, ordinal: str, block: str, locator
         F.col(kind).alias("kind"),
         F.posexplode(F.split(original, "\r?\n", -1)).alias("i", "line"),
     )
-    df = df.select("source_id", "paged", "page", "blk", "block_id", "kind", (F.col("i") + 1).alias("line_no"), "line")
-    return written(df.filter(F.trim("line") != ""), "page-lines")
+    df = df.select("source_id", "paged", "page", "blk", "block_id", "kind", (F.col("i") + 1).alias("line_no"), "line").filter(F.trim("line") != "")
+    # what is left of a line without a page number at its ends, for comparison of lines
+    bare = F.when(F.col("line").rlike(r"^\s*[0-9]|[0-9]\s*$"), F.regexp_replace("line", NUMBER_HEAD, "")).otherwise(F.col("line"))
+    df = fenced(df, {"bare": F.when(F.col("paged"), F.regexp_replace(F.trim(bare), r"\s+", " "))})
+    return written(df.withColumn("key", fold(F.col("bare"))).drop("bare"), "page-lines")
 
 
-NUMBER_LINE = r"(?i)^[\[(\-–—|•.\s]*(?:page|p\.|pp\.|seite|pag\.)?\s*([0-9]{1,5})\s*[\])\-–—|•.\s]*(?:(?:/|of|von)\s*[0-9]{1,5}\s*)?$"
-NUMBER_HEAD = r"^\s*([0-9]{1,5})\s*(?:\||\s{2,}|[-–—]\s)\s*(?=\S)|(?<=\S)\s*(?:\||\s{2,}|\s[-–—])\s*([0-9]{1,5})\s*$"
+def nearest(key: Column, centers: Column) -> Column:
+    """The key of the center that ``key`` differs least from, by at most one letter in eight and two in all; null if there is none."""
+    most = lambda c: F.least(F.lit(2), F.floor(F.length(c["key"]) / 8)).cast("int")
+    off = F.transform(centers, lambda c: F.struct(F.levenshtein(key, c["key"]).alias("d"), (-c["n"]).alias("n"), c["key"].alias("key"), most(c).alias("most")))
+    return F.array_min(F.filter(off, lambda x: x["d"] <= x["most"]))["key"]
 
 
 def furniture(lines: DataFrame) -> DataFrame:
@@ -70,11 +84,8 @@ def furniture(lines: DataFrame) -> DataFrame:
     text = F.trim("line")
     only = F.regexp_extract(text, NUMBER_LINE, 1)
     inside = F.coalesce(F.nullif(F.regexp_extract("line", NUMBER_HEAD, 1), F.lit("")), F.regexp_extract("line", NUMBER_HEAD, 2))
-    bare = F.regexp_replace("line", NUMBER_HEAD, "")
-    key = fold(F.regexp_replace(F.trim(bare), r"\s+", " "))
-    all_keys = lines.filter("paged").select(fold(F.regexp_replace(F.trim(bare), r"\s+", " ")).alias("key"))
     edge = edge.filter("up <= 2 or down <= 2").select(
-        "source_id", "page", "blk", "block_id", "line_no", "up", "down", text.alias("line"), key.alias("key"),
+        "source_id", "page", "blk", "block_id", "line_no", "up", "down", text.alias("line"), "key",
         (only != "").alias("is_number"), F.when(only != "", only).when(inside != "", inside).cast("int").alias("number"),
         F.when(F.col("up") <= F.col("down"), "head").otherwise("foot").alias("side"),
     )
@@ -84,16 +95,23 @@ def furniture(lines: DataFrame) -> DataFrame:
     runs = numbered.groupBy("source_id", "off").agg(F.countDistinct("page").alias("pages"))
     best = runs.groupBy("source_id").agg(F.max(F.struct("pages", (-F.abs("off")).alias("o"), "off")).alias("b"), F.count("*").alias("offsets"))
     best = written(best.select("source_id", F.col("b.off").alias("off"), F.col("b.pages").alias("run"), "offsets"), "page-runs")
-    # repetition of the same line: on other pages of the source, and at the edges of pages of other sources
-    own = edge.filter("not is_number").groupBy("source_id", "side", "key").agg(F.countDistinct("page").alias("own_pages"))
-    everywhere = all_keys.groupBy("key").agg(F.count("*").alias("everywhere"))
+    # the line at the edges of pages of other sources
+    everywhere = lines.filter("paged").groupBy("key").agg(F.count("*").alias("everywhere"))
     # an edge line may be counted from both ends on short pages; by key it is one occurrence per line
-    corpus = edge.filter("not is_number").groupBy("key").agg(F.count("*").alias("at_edges"), F.approx_count_distinct("source_id").alias("sources"))
+    corpus = edge.filter("not is_number").groupBy("key", "source_id").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("at_edges"), F.count("*").alias("sources"))
     corpus = written(corpus.join(everywhere, "key").withColumn("share", F.col("at_edges") / F.col("everywhere")), "edge-keys")
-    edge = written(attach(edge, best, ["source_id"]), "page-edges")
-    own = attach(own, edge.groupBy("source_id").agg(F.countDistinct("page").alias("pages")), ["source_id"])
+    # on other pages of the source: lines are near one that stands unchanged on many pages
+    pages = edge.groupBy("source_id").agg(F.countDistinct("page").alias("pages"))
+    edge = written(attach(attach(edge, best, ["source_id"]), pages, ["source_id"]), "page-edges")
+    same = edge.filter("not is_number").groupBy("source_id", "side", "key").agg(F.countDistinct("page").alias("n"), F.first("pages").alias("pages"))
+    often = same.filter((F.col("n") >= 2) & (F.col("n") >= CENTER_SHARE * F.col("pages")))
+    centers = written(often.groupBy("source_id", "side").agg(F.collect_list(F.struct("n", "key")).alias("centers")), "edge-centers")
+    edge = attach(edge, centers, ["source_id", "side"])
+    edge = fenced(edge, {"center": nearest(F.col("key"), F.col("centers"))}).drop("centers")
+    edge = written(edge, "page-edges")
+    own = edge.filter("not is_number and center is not null").groupBy("source_id", "side", "center").agg(F.countDistinct("page").alias("own_pages"), F.first("pages").alias("pages"))
     own = written(own.filter((F.col("own_pages") >= 2) & (F.col("own_pages") >= PAGES_SHARE * F.col("pages"))), "own-edges")
-    edge = written(attach(edge, own.select("source_id", "side", "key", "own_pages"), ["source_id", "side", "key"]), "page-edges")
+    edge = written(attach(edge, own.select("source_id", "side", "center", "own_pages"), ["source_id", "side", "center"]), "page-edges")
     edge = attach(edge, corpus.select("key", "share", "sources"), ["key"])
     runs_with = F.coalesce((F.col("number") - F.col("page")) == F.col("off"), F.lit(False))
     adorned = ~F.col("line").rlike(r"^[0-9]+$")
@@ -147,14 +165,17 @@ def repairs(body: DataFrame) -> DataFrame:
     tail = rf"({WORD})[{HYPHENS}]\s*$"
     head = rf"^\s*({WORD})"
     first = F.when(ends_broken("line"), F.regexp_extract("line", tail, 1)).otherwise("")
+    text = fenced(body.filter(F.coalesce(F.col("kind"), F.lit("text")) != "table"), {"first": first})
+    first = F.col("first")
     second = F.when(first.rlike(r"\p{L}$"), F.regexp_extract("next", head, 1))
-    text = body.filter(F.coalesce(F.col("kind"), F.lit("text")) != "table")
+    text = fenced(text, {"second": second})
+    second = F.col("second")
     is_broken = (first != "") & F.coalesce(second.rlike(r"^\p{L}"), F.lit(False))
     # the second part of a word broken on the line before is no word of this line
     was = F.when(ends_broken("before"), F.regexp_extract("before", tail, 1).rlike(r"\p{L}$") & F.regexp_extract("line", head, 1).rlike(r"^\p{L}"))
     own = F.when(is_broken, F.regexp_replace("line", tail, "")).otherwise(F.col("line"))
     own = F.when(F.coalesce(was, F.lit(False)), F.regexp_replace(own, head, "")).otherwise(own)
-    tokens = text.select("source_id", "block_id", "line_no", F.explode(F.regexp_extract_all(own, F.lit(f"({WORD})"), F.lit(1))).alias("found"))
+    tokens = fenced(text, {"own": own}).select("source_id", "block_id", "line_no", F.explode(F.regexp_extract_all(F.col("own"), F.lit(f"({WORD})"), F.lit(1))).alias("found"))
     tokens = tokens.filter(F.col("found").rlike(r"\p{L}"))
     words = tokens.groupBy("found").agg(F.count("*").alias("n"))
     vocab = words.withColumn("word", plain(F.col("found"))).groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("found") != F.upper("found"), F.col("n")).otherwise(0)).alias("lower_n"))
