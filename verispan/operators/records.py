@@ -173,6 +173,12 @@ def author_line(authors: Column, sep: str) -> Column:
     return F.array_join(one, sep)
 
 
+def record_url(doi: Column, identifiers: Column) -> Column:
+    """The address of a record by its preprint, DOI or PubMed id."""
+    at = lambda k: F.nullif(identifiers[k], F.lit(""))
+    return F.coalesce(F.concat(F.lit("https://arxiv.org/abs/"), at("arxiv")), F.concat(F.lit("https://doi.org/"), F.nullif(doi, F.lit(""))), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), at("pmid"), F.lit("/")), F.lit(""))
+
+
 def export_lines(records: DataFrame, fmt: str, key: str = "rec_no", record: str = "record_id") -> DataFrame:
     """``key, entry``: each record as ``ris``, ``enw``, ``bib``, ``rdf`` or ``csv`` text.
 
@@ -194,7 +200,11 @@ def export_lines(records: DataFrame, fmt: str, key: str = "rec_no", record: str
     if fmt == "bib":
         esc = lambda v: F.regexp_replace(v.cast("string"), r"([{}%&_])", r"\\$1")
         field = lambda name, v: F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"  {name} = {{"), esc(v), F.lit("}")))
-        body = F.array_compact(F.array(field("title", c("title")), field("year", c("year")), field("journal", c("journal")), field("doi", c("doi")), field("author", author_line(c("authors"), " and ")), field("eprint", c("identifiers")["arxiv"]), field("pmid", c("identifiers")["pmid"])))
+        # a name that is not stated in parts is kept whole by braces
+        whole = lambda a: (F.coalesce(a["given"], F.lit("")) == "") & ~a["family"].contains(",")
+        written_ = F.array_join(F.transform(names, lambda a: F.when(whole(a), F.concat(F.lit("{"), esc(full(a)), F.lit("}"))).otherwise(esc(full(a)))), " and ")
+        people = F.when(F.size(names) > 0, F.concat(F.lit("  author = {"), written_, F.lit("}")))
+        body = F.array_compact(F.array(field("title", c("title")), field("year", c("year")), field("journal", c("journal")), field("doi", c("doi")), people, field("eprint", c("identifiers")["arxiv"]), field("pmid", c("identifiers")["pmid"])))
         kind = F.when(F.coalesce(c("journal"), F.lit("")) != "", "@article{r").otherwise("@misc{r")
         return records.select(key, F.concat(kind, c(key).cast("string"), F.lit(",\n"), F.array_join(body, ",\n"), F.lit("\n}")).alias("entry"))
     if fmt == "rdf":
@@ -205,7 +215,8 @@ def export_lines(records: DataFrame, fmt: str, key: str = "rec_no", record: str
         return records.select(key, F.concat(F.lit('<rdf:Description rdf:about="urn:record:'), esc(c(record)), F.lit('">'), F.array_join(F.array_compact(parts), ""), F.lit("</rdf:Description>")).alias("entry"))
     if fmt == "csv":
         quote = lambda v: F.when(v.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
-        cells = [c(record), c("title"), author_line(c("authors"), "; "), c("year"), c("journal"), c("doi")]
+        more = [c(x) if x in records.columns else F.lit("") for x in ("volume", "issue", "pages", "article_number")]
+        cells = [c(record), c("title"), author_line(c("authors"), "; "), c("year"), c("journal"), c("doi"), *more, record_url(c("doi"), c("identifiers"))]
         return records.select(key, F.concat_ws(",", *[quote(F.coalesce(x.cast("string"), F.lit(""))) for x in cells]).alias("entry"))
     raise ValueError(f"unknown format {fmt}")
 

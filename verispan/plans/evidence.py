@@ -122,6 +122,8 @@ def export_rdf(spark: SparkSession, d: str) -> DataFrame:
 
 _SQZ = lambda c: rf"trim(regexp_replace({c}, '[\s\p{{Z}}]+', ' ', 'g'))"
 _FULL = "regexp_replace(concat_ws(', ', a.family, nullif(a.given, '')), '[, ]+$', '')"
+_ESC = lambda x: rf"regexp_replace({x}, '([{{}}%&_])', '\\\1', 'g')"
+_XML = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _NAMES = "list_filter(authors, lambda a: coalesce(a.family, '') <> '')"
 
 
@@ -270,7 +272,17 @@ SQL = {
     "export_ris": f"""{_RID} select rec_no, concat_ws(chr(10), case when coalesce(journal, '') <> '' then 'TY  - JOUR' else 'TY  - GEN' end, nullif(array_to_string(list_transform({_NAMES}, lambda a: 'AU  - ' || {_SQZ(_FULL)}), chr(10)), ''),
  'TI  - ' || case when title <> '' then {_SQZ('title')} end, 'PY  - ' || cast(year as varchar), 'JO  - ' || case when journal <> '' then {_SQZ('journal')} end, 'DO  - ' || nd, 'ID  - ' || {_SQZ('record_id')}, 'N1  - arxiv:' || nullif(arxiv, ''), 'N1  - pmid:' || nullif(pmid, ''), 'N1  - pmcid:' || nullif(pmcid, ''), 'ER  - ') as entry from r""",
     "export_csv": "%s select rec_no, concat_ws(',', %s) as entry from r"
-    % (_RID, ", ".join(f"""case when regexp_matches({v}, '[",\\n\\r]') then '"' || replace({v}, '"', '""') || '"' else {v} end""" for v in ("record_id", "coalesce(title, '')", f"coalesce(array_to_string(list_transform({_NAMES}, lambda a: {_FULL}), '; '), '')", "coalesce(cast(year as varchar), '')", "coalesce(journal, '')", "coalesce(nd, '')"))),
+    % (_RID, ", ".join(f"""case when regexp_matches({v}, '[",\\n\\r]') then '"' || replace({v}, '"', '""') || '"' else {v} end""" for v in ("record_id", "coalesce(title, '')", f"coalesce(array_to_string(list_transform({_NAMES}, lambda a: {_FULL}), '; '), '')", "coalesce(cast(year as varchar), '')", "coalesce(journal, '')", "coalesce(nd, '')", "''", "''", "''", "''", "coalesce('https://arxiv.org/abs/' || nullif(arxiv, ''), 'https://doi.org/' || nd, 'https://pubmed.ncbi.nlm.nih.gov/' || nullif(pmid, '') || '/', '')"))),
+    "export_enw": f"""{_RID} select rec_no, concat_ws(chr(10), case when coalesce(journal, '') <> '' then '%0 Journal Article' else '%0 Generic' end, nullif(array_to_string(list_transform({_NAMES}, lambda a: '%A ' || {_SQZ(_FULL)}), chr(10)), ''),
+ '%T ' || case when title <> '' then {_SQZ('title')} end, '%D ' || cast(year as varchar), '%J ' || case when journal <> '' then {_SQZ('journal')} end, '%R ' || nd, '%Z arxiv:' || nullif(arxiv, ''), '%Z pmid:' || nullif(pmid, ''), '%Z pmcid:' || nullif(pmcid, '')) as entry from r""",
+    "export_bibtex": f"""{_RID} select rec_no, case when coalesce(journal, '') <> '' then '@article{{r' else '@misc{{r' end || rec_no || ',' || chr(10) || concat_ws(',' || chr(10), '  title = {{' || {_ESC("nullif(title, '')")} || '}}', '  year = {{' || year || '}}', '  journal = {{' || {_ESC("nullif(journal, '')")} || '}}', '  doi = {{' || {_ESC('nd')} || '}}',
+ case when len({_NAMES}) > 0 then '  author = {{' || array_to_string(list_transform({_NAMES}, lambda a: case when coalesce(a.given, '') = '' and not contains(a.family, ',') then '{{' || {_ESC(_FULL)} || '}}' else {_ESC(_FULL)} end), ' and ') || '}}' end, '  eprint = {{' || {_ESC("nullif(arxiv, '')")} || '}}', '  pmid = {{' || nullif(pmid, '') || '}}') || chr(10) || '}}' as entry from r""",
+    "export_rdf": f"""{_RID} select rec_no, '<rdf:Description rdf:about="urn:record:' || {_XML('record_id')} || '">' || concat('<dc:title>' || {_XML("nullif(title, '')")} || '</dc:title>', '<dc:date>' || year || '</dc:date>', '<dc:source>' || {_XML("nullif(journal, '')")} || '</dc:source>', array_to_string(list_transform(list_filter(list_transform({_NAMES}, lambda a: {_FULL}), lambda x: x <> ''), lambda x: '<dc:creator>' || {_XML('x')} || '</dc:creator>'), ''),
+ '<dc:identifier>doi:' || {_XML('nd')} || '</dc:identifier>', '<dc:identifier>arxiv:' || {_XML("nullif(arxiv, '')")} || '</dc:identifier>', '<dc:identifier>pmid:' || nullif(pmid, '') || '</dc:identifier>', '<dc:identifier>pmcid:' || nullif(pmcid, '') || '</dc:identifier>') || '</rdf:Description>' as entry from r""",
+    "text_blocks": r"""with b as (select doc_id, regexp_split_to_array(text, '\n\s*\n') as parts, regexp_extract_all(text, '\n\s*\n') as seps from documents where text is not null and text <> ''),
+e as (select doc_id, generate_subscripts(parts, 1) as i, unnest(parts) as p, unnest(list_append(seps, '')) as s from b),
+n as (select *, length(p || s) - length(replace(p || s, chr(10), '')) as lines from e), l as (select doc_id, i, regexp_replace(p, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as original, 1 + coalesce(sum(lines) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as line from n)
+select doc_id, cast(k as int) as ordinal, printf('B%05d', k) as block_id, 'line ' || line as locator, 'text' as kind, original from (select *, row_number() over (partition by doc_id order by i) as k from l where original <> '')""".replace("\\\\", "\\"),
     "screening_flow": f"""{_LEDGER}, h as (select count(*) as records_identified, count(duplicate_of) as duplicate_records_removed, count(*) filter (where duplicate_of is null and title_abstract_decision is not null) as records_screened, count(*) filter (where duplicate_of is null and title_abstract_decision = 'exclude') as records_excluded_title_abstract,
  count(*) filter (where duplicate_of is null) as u, count(*) filter (where duplicate_of is null and title_abstract_decision = 'include' and report_id is null) as e1 from l),
 t as (select count(*) as reports_sought, count(*) filter (where x.a = 'not_retrieved') as reports_not_retrieved, count(*) filter (where x.a = 'retrieved') as reports_retrieved, count(*) filter (where x.a = 'retrieved' and x.b = 'exclude') as reports_excluded_fulltext, count(*) filter (where x.a = 'retrieved' and x.b = 'include') as reports_included,

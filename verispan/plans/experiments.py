@@ -9,7 +9,9 @@ from verispan.functions.stats import normal_pvalue_sql, rounded, rounded_sql, t_
 from verispan.operators import contrasts as C
 from verispan.operators import enrichment, followup, kernels, qc
 from verispan.operators import units as U
+from verispan.scale import new_path
 from verispan.session import table
+from verispan.streaming.technical import stream_units
 
 CONTRASTS = (("treated", "control"), ("rescue", "control"), ("rescue", "treated"))
 KEYS = ["run_id", "feature", "group_name", "unit"]
@@ -294,15 +296,30 @@ def contrast_intervals(spark: SparkSession, d: str) -> DataFrame:
     return rounded(kernels.with_interval(rows).select("run_id", "feature", "contrast", "effect", "ci_low", "ci_high"), "effect", "ci_low", "ci_high")
 
 
+def streamed_units(spark: SparkSession, d: str) -> DataFrame:
+    """Technical aggregation of the observations read as a stream of files, by day of loading; the stream ends with what is there."""
+    schema = table(spark, d, "observations").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "observations.parquet").parquet(d)
+    units = stream_units(source, "loaded_at", KEYS, window="1 day", late="36500 days").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    path = new_path(spark, "stream-units")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table")
+
+    units.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/table"), "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         contrast_welch_bh, technical_aggregation, detection_table, bh_all, leave_one_out_stability, qc_issues, qc_raw_counts, repeated_floor, batch_confounding, ratio_normalization, delta_ct,
         paired_t, mann_whitney, spearman_within_group, reversal_patterns, time_trend_slope, gene_set_enrichment, wide_to_long, table_profile, metadata_join_checks, signals_topk,
-        rank_tests_exact, signed_rank, batch_adjusted_contrast, mixed_time_trend, count_contrasts, contrast_intervals,
+        rank_tests_exact, signed_rank, batch_adjusted_contrast, mixed_time_trend, count_contrasts, contrast_intervals, streamed_units,
     )
 }
 SQL = {
+    "streamed_units": "select strftime(date_trunc('day', loaded_at), '%Y-%m-%d') as window_start, run_id, feature, group_name, unit, round(avg(value), 6) as value, count(value) as observed_technical_n, count(*) as technical_rows from observations where loaded_at is not null group by all",
     "contrast_welch_bh": CONTRAST_SQL,
     "technical_aggregation": "select run_id, feature, group_name, unit, round(avg(value), 6) as mean_value, round(median(value), 6) as median_value, count(value) as observed_technical_n, count(*) as technical_rows, string_agg(distinct sample, ';' order by sample) as samples from observations group by all",
     "detection_table": f"with {UNITS}, {_DET} select d.run_id, d.feature, d.group_name, o.n as observed_units, e.x as expected_units, round(detection, 6) as detection from det d join o using (run_id, feature, group_name) join e using (run_id, group_name)",
@@ -327,6 +344,14 @@ select run_id, feature, round(a, 6) as model_effect, round(b, 6) as treatment_ef
     "time_trend_slope": """with u as (select feature, group_name, run_id || '/' || unit as ru, time_h, run_id, unit, avg(value) as value from observations group by all),
 s as (select feature, group_name, count(distinct ru) as units, count(distinct time_h) as times, count(*) as n, regr_slope(value, time_h) as sl from u where feature is not null and group_name is not null and time_h is not null and value is not null group by all)
 select feature, group_name, units, times, n, round(case when units >= 4 and times >= 3 then sl end, 6) as slope, case when units >= 4 and times >= 3 then 'estimated' else 'descriptive_small_n' end as status from s""",
+    "batch_adjusted_contrast": f"""with {UNITS}, m as (select feature, run_id as b, cast(group_name = 'treated' as int) as x, count(*) as k, avg(value) as y, var_pop(value) as v from units where value is not null and group_name in ('treated', 'control') group by all),
+b1 as (select *, sum(k) over w as nb, x - sum(k * x) over w / sum(k) over w as xt, y - sum(k * y) over w / sum(k) over w as yt from m window w as (partition by feature, b)),
+b2 as (select *, sum(k * xt * xt) over f as sxx, sum(k * xt * yt) over f as sxy from b1 window f as (partition by feature)),
+b3 as (select *, case when sxx > 0 then sxy / sxx end as beta, 1 / nb + case when sxx > 0 then xt * xt / sxx end as h from b2),
+b4 as (select feature, sum(k)::bigint as n, count(distinct b) as batches, max(h) as h, max(beta) as beta, max(sxx) as sxx, sqrt(sum(case when h < 1 then xt * xt * k * (v + (yt - beta * xt) ** 2) / (1 - h) ** 2 end)) as meat from b3 group by 1),
+b5 as (select *, coalesce(n > batches + 2 and sxx > 1e-9 and h <= 1 - 1e-12 and meat / sxx > 0, false) as ok from b4),
+b6 as (select feature, n, case when ok then beta end as effect, case when ok then meat / sxx end as standard_error, case when ok then 'tested' else 'not_estimable' end as status, case when ok then beta / (meat / sxx) end as z from b5),
+b7 as (select *, {normal_pvalue_sql('z')} as p_value from b6), {_bh('b7', '')} select feature, n, round(effect, 6) as effect, round(standard_error, 6) as standard_error, round(p_value, 6) as p_value, status, round(q_value, 6) as q_value, tests_in_family from adjusted""",
     "gene_set_enrichment": _EN,
     "wide_to_long": "select o_custkey, o_orderstatus, round(sum(o_totalprice), 6) as total from orders where o_orderstatus in ('F', 'O', 'P') group by all",
     "table_profile": _PROFILE,

@@ -58,21 +58,46 @@ def table_of(text: str, sep: str, header_row: int = 1) -> tuple[list[str], list[
     return names, out
 
 
+MOST_BYTES = 1 << 30
+"""A quoted file is one stream for one task; larger ones are refused and belong to ``parse_lines``."""
+HEAD_LINES = 1000
+"""A header ends within so many lines."""
+
+
 def read_table(spark: SparkSession, path: str, header_row: int = 1) -> DataFrame:
-    """The rows of one .csv, .tsv or .txt file as text columns with ``__source_row``, ``__source_file`` and ``__source_sha256``.
+    """The rows of .csv, .tsv or .txt files of one header as text columns with ``__source_row``, ``__source_file`` and ``__source_sha256``.
 
-    One file is one quoted stream, so it is parsed in one task; a folder of plain line files is what
-    ``parse_lines`` reads in parallel.
+    One file is one quoted stream, so it is parsed in one task and may hold ``MOST_BYTES``; a folder
+    of plain line files is what ``parse_lines`` reads in parallel. The driver reads the first lines only.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     sep = "," if path.lower().endswith(".csv") else "\t"
-    head = table_of(files.select(F.decode("content", "utf-8")).first()[0], sep, header_row)[0]
+    top = "\n".join(r.value for r in spark.read.text(path).limit(HEAD_LINES).collect()).lstrip("﻿")
+    rows = []
+    try:
+        for row in physical_rows(top, sep):
+            rows.append(row)
+            if len(rows) == header_row:
+                break
+    except csv.Error:  # the text ends within quotes
+        pass
+    if len(rows) < header_row:
+        raise ValueError("no header row")
+    head = [n.strip() for n in rows[-1][1]]
+    while head and not head[-1]:
+        head.pop()
+    if problems := header_problems(head):
+        raise ValueError("; ".join(problems))
+    files = spark.read.format("binaryFile").load(path)
+    too_large = F.raise_error(F.concat(F.lit("too large for one quoted stream: "), "path")).cast("binary")
+    files = files.select("path", F.when(F.col("length") > MOST_BYTES, too_large).otherwise(F.col("content")).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"]):
                 digest = hashlib.sha256(bytes(data)).hexdigest()
-                _, rows = table_of(bytes(data).decode("utf-8-sig"), sep, header_row)
+                names, rows = table_of(bytes(data).decode("utf-8-sig"), sep, header_row)
+                if names != head:
+                    raise ValueError(f"another header in {p}")
                 yield pd.DataFrame([(*f, i, p, digest) for i, f in rows], columns=[*head, "__source_row", "__source_file", "__source_sha256"])
 
     return files.mapInPandas(run, ", ".join(f"`{n}` string" for n in head) + ", __source_row int, __source_file string, __source_sha256 string")
