@@ -92,23 +92,28 @@ def pieces_of(text: str, limit: int, overlap: int, path: str) -> list[tuple[int,
     ends = np.cumsum(tok.length[ids])
     starts = np.concatenate(([0], ends[:-1]))
     whole = np.frombuffer(raw, np.uint8)[starts] & 0xC0 != 0x80
-    most = limit - overlap - 8  # a piece that starts inside a word may take a few tokens more
-    at = cuts(ids, raw, starts, most // 2, most)
-    out = []
-    for i in range(len(at) - 1):
-        first = max(0, at[i] - overlap) if i else 0
-        while not whole[first]:
-            first -= 1
-        end = len(raw) if at[i + 1] == len(ids) else int(starts[at[i + 1]])
-        out.append((int(starts[first]), end, at[i + 1] - first))
-    return out
+    slack = 8  # a piece that starts inside a word may take a few tokens more when it is encoded by itself
+    while True:
+        most = limit - overlap - slack
+        at = cuts(ids, raw, starts, max(1, most // 2), max(1, most))
+        out = []
+        for i in range(len(at) - 1):
+            first = max(0, at[i] - overlap) if i else 0
+            while not whole[first]:
+                first -= 1
+            end = len(raw) if at[i + 1] == len(ids) else int(starts[at[i + 1]])
+            out.append((int(starts[first]), end, tok.count(raw[starts[first] : end].decode("utf-8", "replace"))))
+        if most <= 1 or max(n for _, _, n in out) <= limit:
+            return out
+        slack *= 2
 
 
 def split_oversized(df: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2048, overlap: int = 128, tokens: str = DEFAULT, with_text: bool = True) -> DataFrame:
     """The pieces of each text above ``limit`` tokens: ``key, piece_no, pieces, n_tokens, start_byte, end_byte`` and ``piece``.
 
     Consecutive pieces share ``overlap`` tokens (one more or two where a token ends inside a
-    character); every byte of the text is in a piece. ``tokens`` is the tokenizer's file.
+    character); every byte of the text is in a piece. ``n_tokens`` is what the piece has when it is
+    encoded by itself; a text of which a piece exceeds the limit that way is cut again with more room. ``tokens`` is the tokenizer's file.
 
     Defined cases: null, empty and short texts give no rows; a text without any boundary is cut
     between whole characters; rows repeated with the same key are cut each; an empty table gives an
