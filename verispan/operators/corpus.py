@@ -113,7 +113,7 @@ def compare_records(pairs: DataFrame, key: Sequence[str]) -> DataFrame:
         cut = F.exists(a, lambda n: F.coalesce(n.rlike(r"(?i)et\s*al|等"), F.lit(False)))
         status = F.when(none(a), "not_supplied").when(none(b), "source_missing").when(cut, "truncated_presentation_needs_style_check").when(plain(a) == plain(b), "match").otherwise("needs_review")
         checks.append(F.struct(F.lit("authors").alias("field"), status.alias("status")))
-    return pairs.select(*key, F.explode(F.array(*checks)).alias("k")).select(*key, "k.field", "k.status")
+    return pairs.select(*key, F.explode(F.array(*checks)).alias("__check")).select(*key, "__check.field", "__check.status")
 
 
 def screening_ledger(kept: DataFrame, record: str = "record_id") -> DataFrame:
