@@ -171,3 +171,23 @@ def test_intervals(spark):
     assert got.ci_low < 3 < got.ci_high
     se = math.sqrt(got.var_test / 5 + got.var_reference / 5)
     assert got.ci_high - 3 == pytest.approx(se * float(kernels.t_quantile(0.95, np.array([got.df]))[0]))
+
+
+def test_interval_of_no_effect(spark):
+    rows = [("GPX4", f"{g}{i}-0", f"{g}{i}", g, 0, float(i)) for g in "AB" for i in range(5)]
+    got = kernels.with_interval(contrast(spark, rows)).first()
+    assert got.status == "tested" and got.effect == 0 and got.statistic == 0
+    half = math.sqrt(got.var_test / 5 + got.var_reference / 5) * float(kernels.t_quantile(0.95, np.array([got.df]))[0])
+    assert (got.ci_low, got.ci_high) == (pytest.approx(-half), pytest.approx(half)) and half > 0
+    few = kernels.with_interval(contrast(spark, base(n=1))).first()
+    assert few.status == "descriptive_small_n" and few.ci_low is None and few.ci_high is None
+
+
+def test_interval_of_no_paired_effect(spark):
+    from verispan.plans.study import paired_tests
+
+    rows = [("f", f"{g}{i}", g, f"p{i}", 1.0 * i + (d if g == "B" else 0.0)) for g in "AB" for i, d in enumerate((1.0, -1.0, 2.0, -2.0))]
+    df = spark.createDataFrame(rows, "feature string, unit string, group string, pair string, value double")
+    got = paired_tests(df, ["feature"], {"pairs": [("B", "A")], "min_n": 3}, "paired_t", None).first()
+    half = math.sqrt(10 / 3 / 4) * float(kernels.t_quantile(0.95, np.array([3.0]))[0])
+    assert got.effect == 0 and (got.ci_low, got.ci_high) == (pytest.approx(-half), pytest.approx(half)) and "__se" not in got

@@ -118,8 +118,11 @@ def classify(rows: DataFrame, alpha: float = 0.05, minimum_effect: float = 0.0,
     return rows.withColumn("signal_class", F.when(hit & (F.size("flags") == 0), "statistical_signal").when(hit, "quality_limited_signal").otherwise("descriptive_or_uncertain"))
 
 
-def paired_t(units: DataFrame, strata: Sequence[str], pair: str, group: str, test: str, reference: str, value: str = "value", min_n: int = 3) -> DataFrame:
-    """Paired t per stratum over complete pairs; a pair with several units of a group makes the stratum ambiguous."""
+def paired_t(units: DataFrame, strata: Sequence[str], pair: str, group: str, test: str, reference: str, value: str = "value", min_n: int = 3, error: str | None = None) -> DataFrame:
+    """Paired t per stratum over complete pairs; a pair with several units of a group makes the stratum ambiguous.
+
+    ``error`` names a further column that holds the standard error of the effect.
+    """
     side = lambda g, a: F.max(F.when(F.col(group) == g, F.col(value))).alias(a)
     n = lambda g, a: F.count_if((F.col(group) == g) & F.col(value).isNotNull()).alias(a)
     both = units.filter(F.col(pair).isNotNull() & F.col(group).isin(test, reference)).groupBy(*strata, pair).agg(side(test, "t"), side(reference, "r"), n(test, "nt"), n(reference, "nr"))
@@ -130,6 +133,8 @@ def paired_t(units: DataFrame, strata: Sequence[str], pair: str, group: str, tes
     status = F.when(F.col("ambiguous") > 0, "ambiguous_pairing").when(F.col("n_matched_pairs") < max(2, min_n), "descriptive_small_n").when(F.col("var") == 0, "not_estimable").otherwise("tested")
     out = out.withColumn("status", status)
     ok = F.col("status") == "tested"
+    if error:
+        out = out.withColumn(error, F.sqrt(F.try_divide("var", "n_matched_pairs")))
     out = out.withColumns({"statistic": F.when(ok, F.try_divide("effect", F.sqrt(F.try_divide("var", "n_matched_pairs")))), "df": F.when(ok, (F.col("n_matched_pairs") - 1).cast("double"))})
     return out.withColumn("p_value", t_pvalue("statistic", "df")).drop("var", "ambiguous")
 

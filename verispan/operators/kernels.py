@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +41,8 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
                 c = 1 + num / c
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 h = h * d * c
+            if not np.any(np.abs(d * c - 1) > 1e-15):  # further factors are 1 but for rounding
+                break
         out = np.where(y <= 0, 0.0, np.where(y >= 1, 1.0, front * h))
     return np.where(turn, 1 - out, out)
 
@@ -57,6 +59,8 @@ def t_quantile(level: float, df: np.ndarray) -> np.ndarray:
     low, high = np.full(df.shape, -20.0), np.full(df.shape, 40.0)
     for _ in range(90):
         mid = (low + high) / 2
+        if np.all((mid <= low) | (mid >= high)):  # no number lies between
+            break
         up = t_two_sided(np.exp(mid), df) > 1 - level
         low, high = np.where(up, mid, low), np.where(up, high, mid)
     return np.exp((low + high) / 2)
@@ -77,9 +81,15 @@ def t_margin(df: pd.Series) -> pd.Series:
     return out
 
 
-def with_interval(rows: DataFrame, effect: str = "effect", statistic: str = "statistic", df: str = "df") -> DataFrame:
-    """``ci_low`` and ``ci_high`` of tested rows: effect -+ t quantile times the standard error."""
-    margin = F.abs(F.col(effect) / F.col(statistic)) * t_margin(F.col(df))
+def with_interval(rows: DataFrame, effect: str = "effect", statistic: str = "statistic", df: str = "df", error: Column | None = None) -> DataFrame:
+    """``ci_low`` and ``ci_high`` of tested rows: effect -+ t quantile times the standard error.
+
+    The error is that of a Welch contrast from the moments of its sides unless ``error`` gives it; an
+    effect of zero, whose statistic is zero, has an interval like any other.
+    """
+    if error is None:
+        error = F.sqrt(F.try_divide("var_test", "n_test") + F.try_divide("var_reference", "n_reference"))
+    margin = F.when(F.col(statistic).isNotNull(), error) * t_margin(F.col(df))
     return rows.withColumns({"ci_low": F.col(effect) - margin, "ci_high": F.col(effect) + margin})
 
 

@@ -137,12 +137,13 @@ def independent_tests(units: DataFrame, strata: list[str], o: dict, method: str,
 
 def paired_tests(units: DataFrame, strata: list[str], o: dict, method: str, blocked: str | None) -> DataFrame:
     """Paired t with its interval or signed rank over complete pairs."""
-    tests = each_contrast(o["pairs"], lambda t, r: C.paired_t(units, strata, "pair", "group", t, r, min_n=o["min_n"]))
+    tests = each_contrast(o["pairs"], lambda t, r: C.paired_t(units, strata, "pair", "group", t, r, min_n=o["min_n"], error="__se"))
     if method == "wilcoxon":
         ranks = each_contrast(o["pairs"], lambda t, r: K.signed_rank_tests(C.paired_differences(units, strata, "pair", "group", t, r), strata, "d"))
         tests = replaced(tests, ranks, strata, [])
     else:
-        tests = K.with_interval(tests)
+        tests = K.with_interval(tests, error=F.col("__se"))
+    tests = tests.drop("__se")
     if blocked:
         tests = tests.withColumns({"status": F.lit(blocked), "p_value": F.lit(None).cast("double")})
     return tests.withColumn("method", F.when(F.col("status") == "tested", method))
