@@ -191,3 +191,13 @@ def test_interval_of_no_paired_effect(spark):
     got = paired_tests(df, ["feature"], {"pairs": [("B", "A")], "min_n": 3}, "paired_t", None).first()
     half = math.sqrt(10 / 3 / 4) * float(kernels.t_quantile(0.95, np.array([3.0]))[0])
     assert got.effect == 0 and (got.ci_low, got.ci_high) == (pytest.approx(-half), pytest.approx(half)) and "__se" not in got
+
+
+def test_streamed_table_of_many_files(spark, data, tmp_path):
+    from verispan.plans.experiments import streamed_units
+
+    rows = spark.read.parquet(f"{data}/observations.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "observations.parquet"))
+    rows.limit(1).write.parquet(str(tmp_path / "observations.parquet.old"))
+    one, many = (streamed_units(spark, d) for d in (data, str(tmp_path)))
+    assert many.count() == one.count() > 0 and one.exceptAll(many).count() == 0

@@ -299,7 +299,8 @@ def contrast_intervals(spark: SparkSession, d: str) -> DataFrame:
 def streamed_units(spark: SparkSession, d: str) -> DataFrame:
     """Technical aggregation of the observations read as a stream of files, by day of loading; the stream ends with what is there."""
     schema = table(spark, d, "observations").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "observations.parquet").parquet(d)
+    # as a pattern the table may be one file or a folder of them; a plain path of a stream must be a folder
+    source = spark.readStream.schema(schema).parquet(f"{d}/observations.parque[t]")
     units = stream_units(source, "loaded_at", KEYS, window="1 day", late="36500 days").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
     path = new_path(spark, "stream-units")
 
