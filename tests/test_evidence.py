@@ -1,6 +1,7 @@
 """Records, ledgers, documents, sources and the stream on small fixtures."""
 
 import json
+import math
 import zipfile
 
 import pytest
@@ -116,6 +117,30 @@ def test_enrichment_over_measured_genes(spark):
     assert got["s1"].p_value == pytest.approx(1 / 6) and got["s1"].universe_n == 4 and got["s2"].p_value == 1
 
 
+def test_enrichment_of_a_large_universe(spark):
+    """More than a million genes, and sets from one gene to many pieces of a tail, against sums of logs of gamma."""
+    n, k = 1_100_000, 30_000
+    genes = spark.range(n).select(F.col("id").alias("gene"))
+    sizes = {"one": 1, "few": 40, "many": 20_000}
+    sets = None
+    for term, size in sizes.items():
+        part = spark.range(size).select(F.lit(term).alias("term"), (F.col("id") * (n // size)).alias("gene"))
+        sets = part if sets is None else sets.union(part)
+    got = {r.term: r for r in enrichment.enrich(genes.filter(F.col("gene") % 3 == 0).limit(k), genes, sets).collect()}
+    lf = lambda v: math.lgamma(v + 1)
+    for term, size in sizes.items():
+        r = got[term]
+        assert (r.term_n, r.selected_n, r.universe_n) == (size, k, n) and r.overlap > 0
+        logs = [lf(size) - lf(x) - lf(size - x) + lf(n - size) - lf(k - x) - lf(n - size - k + x) - lf(n) + lf(k) + lf(n - k) for x in range(r.overlap, size + 1)]
+        assert r.p_value == pytest.approx(min(1.0, math.fsum(map(math.exp, logs))), rel=1e-6)
+
+
+def test_log_factorials(spark):
+    ns = [*range(40), 1000, 10**6, 10**9]
+    got = spark.createDataFrame([(v,) for v in ns], "n long").select("n", enrichment.log_factorial(F.col("n")).alias("f")).collect()
+    assert all(r.f == pytest.approx(math.lgamma(r.n + 1), rel=1e-14, abs=1e-14) for r in got)
+
+
 def test_math_lint():
     assert documents.math_problems("a $x$ and\n```\n$\n```\n\\begin{a}\\end{a} % $") == []
     assert documents.math_problems("$a\n\\]\\begin{x}\\end{y}") == [(2, "unmatched_close", "\\]"), (2, "unmatched_close", "\\end{y}"), (1, "unclosed", "$"), (2, "unclosed", "\\begin{x}")]

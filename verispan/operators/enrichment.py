@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispan.operators.contrasts import bh_adjust
+from verispan.scale import written
+
+EXACT = 16
+"""Log factorials below it are literals; from it on the series is exact to the last digits of a double."""
+
+PIECE = 4096
+"""So many terms of a tail are summed where they are made, so no array grows with a set."""
+
 
-MOST_GENES = 1_000_000
-"""Bounds the one array of log factorials that is broadcast (8 MB)."""
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: a literal for small ones, else Stirling's series."""
+    x = F.greatest(n, F.lit(EXACT)).cast("double")
+    r = F.lit(1.0) / (x * x)
+    series = (F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r * (F.lit(1 / 1680) - r * F.lit(1 / 1188))))) / x
+    small = F.element_at(F.array(*[F.lit(math.log(math.factorial(k))) for k in range(EXACT)]), F.least(n + 1, F.lit(EXACT)).cast("int"))
+    return F.when(n < EXACT, small).otherwise(x * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + F.log(x) / 2 + series)
 
 
 def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFrame:
     """Hypergeometric P(X >= overlap) per set; ``selected`` and ``universe`` have ``gene``, ``sets`` has ``term, gene``.
 
-    Only measured genes count. The log factorials are a running sum over the size of the universe,
-    kept as one array next to the few sets.
+    Only measured genes count; there may be any number of them. A tail is a row per ``PIECE`` of its
+    terms, each a closed expression of the sizes, and sets of the same size and overlap share it.
     """
     uni = universe.select("gene").distinct()
     sel = selected.select("gene").distinct().join(uni, "gene", "left_semi")
@@ -24,19 +38,19 @@ def enrich(selected: DataFrame, universe: DataFrame, sets: DataFrame) -> DataFra
     hits = members.join(sel.withColumn("hit", F.lit(1)), "gene", "left")
     rows = hits.groupBy("term").agg(F.count("*").alias("term_n"), F.count("hit").alias("overlap"))
     sizes = uni.agg(F.count("*").alias("universe_n")).crossJoin(F.broadcast(sel.agg(F.count("*").alias("selected_n"))))
-    # one row: the sizes and the log factorials 0 to n; sequence() and the check refuse what is no gene universe
-    too_many = F.raise_error(F.concat(F.lit("no gene universe: "), F.col("universe_n").cast("string"), F.lit(" genes"))).cast("long")
-    sizes = sizes.withColumn("universe_n", F.when(F.col("universe_n") > MOST_GENES, too_many).otherwise(F.col("universe_n")))
-    numbered = sizes.select(F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("universe_n", F.lit(1)))).alias("id"))
-    logs = numbered.select("id", F.sum(F.log("id")).over(W.orderBy("id")).alias("f"))
-    table = logs.agg(F.array_sort(F.collect_list(F.struct("id", "f"))).alias("t")).select(F.concat(F.array(F.lit(0.0)), F.transform("t", lambda x: x["f"])).alias("lf"))
-    rows = rows.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(table))  # one row each, at most MOST_GENES numbers
-    lf = lambda i: f"lf[cast({i} as int)]"
-    choose = lambda a, b: f"({lf(a)} - {lf(b)} - {lf(f'({a}) - ({b})')})"
-    top = "least(term_n, selected_n)"
-    low = "greatest(overlap, term_n + selected_n - universe_n)"
-    p = F.expr(f"case when overlap = 0 then 1D else least(1D, aggregate(sequence({low}, {top}), 0D, (a, x) -> a + exp({choose('term_n', 'x')} + {choose('universe_n - term_n', 'selected_n - x')} - {choose('universe_n', 'selected_n')}))) end")
-    out = rows.withColumn("p_value", p).drop("lf")
+    rows = written(rows.crossJoin(F.broadcast(sizes)), "set-sizes")  # one row of sizes; read twice below
+    c = F.col
+    by = ["term_n", "overlap", "selected_n", "universe_n"]
+    outside = c("universe_n") - c("term_n")
+    fixed = log_factorial(c("term_n")) + log_factorial(outside) + log_factorial(c("selected_n")) + log_factorial(c("universe_n") - c("selected_n")) - log_factorial(c("universe_n"))
+    tails = rows.filter("overlap > 0").select(*by).distinct()
+    tails = tails.select(*by, fixed.alias("fixed"), F.explode(F.sequence(F.greatest(c("overlap"), c("term_n") + c("selected_n") - c("universe_n")), F.least("term_n", "selected_n"), F.lit(PIECE).cast("long"))).alias("start"))
+    tails = tails.withColumn("x", F.explode(F.sequence("start", F.least(c("start") + (PIECE - 1), c("term_n"), c("selected_n")))))
+    rest = c("selected_n") - c("x")
+    varying = log_factorial(c("x")) + log_factorial(c("term_n") - c("x")) + log_factorial(rest) + log_factorial(outside - rest)
+    terms = tails.select(*by, "start", F.exp(c("fixed") - varying).alias("v"))
+    p = terms.groupBy(*by, "start").agg(F.sum("v").alias("v")).groupBy(*by).agg(F.least(F.lit(1.0), F.sum("v")).alias("__p"))
+    out = rows.join(p, by, "left").withColumn("p_value", F.coalesce("__p", F.lit(1.0))).drop("__p")
     return bh_adjust(out, [], "p_value")
 
 
