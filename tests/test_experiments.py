@@ -201,3 +201,33 @@ def test_streamed_table_of_many_files(spark, data, tmp_path):
     rows.limit(1).write.parquet(str(tmp_path / "observations.parquet.old"))
     one, many = (streamed_units(spark, d) for d in (data, str(tmp_path)))
     assert many.count() == one.count() > 0 and one.exceptAll(many).count() == 0
+
+
+def test_rank_tests_without_a_call_per_stratum(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(120):
+        for g, n in (("B", rnd.choice((0, 1, 3, 9, 12))), ("A", rnd.choice((0, 2, 5, 10)))):
+            rows += [(k if k else None, g, rnd.choice((-0.0, 0.0, 1.0, 2.0, None)) if k % 3 == 0 else rnd.random()) for _ in range(n)]
+    out = kernels.rank_tests(spark.createDataFrame(rows, "s long, g string, v double"), ["s"], "g", "B", "A", "v")
+    assert "InPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.s: r for r in out.collect()}
+    seen = {s for s, _, v in rows if v is not None}
+    assert set(got) == seen
+    for s in seen:
+        x, y = (np.array([v for t, h, v in rows if t == s and h == g and v is not None]) for g in "BA")
+        r = got[s]
+        assert (r.n_test, r.n_reference) == (len(x), len(y))
+        if not (len(x) and len(y)):
+            assert r.u is None and r.rank_biserial is None and r.p_value is None
+            continue
+        pool = np.concatenate([x, y])
+        u = sum((a > b) + (a == b) / 2 for a in x for b in y)
+        ties = np.unique(pool, return_counts=True)[1]
+        n, m, k = len(x), len(y), len(pool)
+        if min(n, m) <= 8 and ties.max() == 1:
+            p = min(1.0, 2 * sum(kernels.u_counts(n, m)[int(max(u, n * m - u)) :]) / math.comb(k, n))
+        else:
+            sd = math.sqrt(n * m / 12 * (k + 1 - (ties**3 - ties).sum() / (k * (k - 1))))
+            p = min(1.0, math.erfc(max(0.0, abs(u - n * m / 2) - 0.5) / sd / math.sqrt(2))) if sd else 1.0
+        assert (r.u, r.rank_biserial, r.p_value) == (u, pytest.approx(2 * u / (n * m) - 1), pytest.approx(p))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verispan.functions.stats import normal_pvalue
+from verispan.operators import contrasts
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -93,7 +95,6 @@ def with_interval(rows: DataFrame, effect: str = "effect", statistic: str = "sta
     return rows.withColumns({"ci_low": F.col(effect) - margin, "ci_high": F.col(effect) + margin})
 
 
-@lru_cache(512)
 def u_counts(n: int, m: int) -> tuple[int, ...]:
     """How many arrangements of n and m ranks give each U, exactly."""
     row = [1]
@@ -109,6 +110,35 @@ def u_counts(n: int, m: int) -> tuple[int, ...]:
     return tuple(row)
 
 
+@lru_cache(512)
+def u_pvalues(n: int, m: int) -> np.ndarray:
+    """The exact two-sided p of each U of n and m values without ties."""
+    tails = list(accumulate(reversed(u_counts(n, m))))[::-1]
+    whole, top = math.comb(n + m, n), n * m
+    return np.array([min(1.0, 2 * tails[max(u, top - u)] / whole) for u in range(top + 1)])
+
+
+def rank_pvalue(n: int, m: int, u: float, ties: float, most: int) -> float:
+    """Two-sided p of U: exact if a side has at most 8 values and no value (``most`` equal ones) is tied, else normal with tie (``ties``: sum of t^3 - t) and continuity correction."""
+    if min(n, m) <= 8 and most == 1:
+        return float(u_pvalues(n, m)[int(u)])
+    k = n + m
+    sd = math.sqrt(max(0.0, n * m / 12 * (k + 1 - ties / (k * (k - 1)))))
+    z = max(0.0, abs(u - n * m / 2) - 0.5) / sd if sd else 0.0
+    return min(1.0, normal_two_sided(z)) if sd else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_pvalues(n: pd.Series, m: pd.Series, u: pd.Series, ties: pd.Series, most: pd.Series) -> pd.Series:
+    """``rank_pvalue`` of each row, computed once per distinct row of a batch; null stays null."""
+    out = pd.Series(np.nan, index=u.index)
+    ok = u.notna()
+    if ok.any():
+        rows, where = np.unique(np.column_stack([c[ok].to_numpy(float) for c in (n, m, u, ties, most)]), axis=0, return_inverse=True)
+        out[ok] = np.array([rank_pvalue(int(a), int(b), v, t, int(k)) for a, b, v, t, k in rows])[where.reshape(-1)]
+    return out
+
+
 @lru_cache(64)
 def w_counts(n: int) -> tuple[int, ...]:
     """How many sign patterns of n ranks give each positive rank sum, exactly."""
@@ -128,20 +158,12 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
 
 
 def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(U of x, two-sided p, rank-biserial): exact if a side has at most 8 values and there are no ties, else normal with tie and continuity correction."""
+    """(U of x, two-sided p, rank-biserial) of two samples by ``rank_pvalue``."""
     n, m = len(x), len(y)
     both = np.concatenate([x, y])
     u = average_ranks(both)[:n].sum() - n * (n + 1) / 2
-    effect = 2 * u / (n * m) - 1
     ties = np.unique(both, return_counts=True)[1]
-    if min(n, m) <= 8 and ties.max() == 1:
-        c = u_counts(n, m)
-        tail = sum(c[int(max(u, n * m - u)) :])
-        return u, min(1.0, 2 * tail / math.comb(n + m, n)), effect
-    k = n + m
-    sd = math.sqrt(max(0.0, n * m / 12 * (k + 1 - (ties**3 - ties).sum() / (k * (k - 1)))))
-    z = max(0.0, abs(u - n * m / 2) - 0.5) / sd if sd else 0.0
-    return u, min(1.0, normal_two_sided(z)) if sd else 1.0, effect
+    return u, rank_pvalue(n, m, u, float((ties**3 - ties).sum()), int(ties.max())), 2 * u / (n * m) - 1
 
 
 def wilcoxon(d: np.ndarray) -> tuple[float, float]:
@@ -256,16 +278,22 @@ def design(batch: np.ndarray, extra: np.ndarray) -> np.ndarray:
 
 
 def rank_tests(units: DataFrame, strata: Sequence[str], group: str, test: str, reference: str, value: str = "value") -> DataFrame:
-    """Mann-Whitney per stratum with the exact distribution where it applies."""
-    kinds = dict(units.dtypes)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = (pdf.loc[pdf["__g"] == g, "__v"].to_numpy(float) for g in (test, reference))
-        u, p, r = mann_whitney(x, y) if len(x) and len(y) else (None, None, None)
-        return pd.DataFrame([(*key, len(x), len(y), u, r, p)], columns=[*strata, "n_test", "n_reference", "u", "rank_biserial", "p_value"])
+    """Mann-Whitney per stratum with the exact distribution where it applies.
 
-    rows = units.filter(F.col(value).isNotNull() & F.col(group).isin(test, reference)).select(*strata, F.col(group).alias("__g"), F.col(value).alias("__v"))
-    return rows.groupBy(*strata).applyInPandas(run, ", ".join(f"`{s}` {kinds[s]}" for s in strata) + ", n_test long, n_reference long, u double, rank_biserial double, p_value double")
+    Ranks, U and ties are windows and aggregates; Python only sees one row per stratum and gives its
+    p, once per distinct sizes, U and ties of a batch. A stratum without values of one side has no U and no p.
+    """
+    rows = units.filter(F.col(value).isNotNull() & F.col(group).isin(test, reference)).select(*strata, F.col(group).alias("__g"), (F.col(value).cast("double") + F.lit(0.0)).alias("__v"))  # -0.0 is 0.0
+    ranked = contrasts.average_ranks(rows, strata, "__v", "__r")
+    is_test = F.col("__g") == test
+    levels = ranked.groupBy(*strata, "__v").agg(F.count("*").alias("__t"), F.count_if(is_test).alias("__a"), F.sum(F.when(is_test, F.col("__r"))).alias("__rs"))
+    out = levels.groupBy(*strata).agg(
+        F.sum("__a").alias("n_test"), F.sum(F.col("__t") - F.col("__a")).alias("n_reference"), F.sum("__rs").alias("__rs"), F.sum(F.col("__t").cast("double") ** 3 - F.col("__t")).alias("__ties"), F.max("__t").alias("__most")
+    )
+    n, m = F.col("n_test"), F.col("n_reference")
+    out = out.withColumn("u", F.when((n > 0) & (m > 0), F.col("__rs") - n * (n + 1) / 2))
+    out = out.withColumns({"rank_biserial": F.try_divide(2 * F.col("u"), n * m) - 1, "p_value": rank_pvalues("n_test", "n_reference", "u", "__ties", "__most")})
+    return out.select(*strata, "n_test", "n_reference", "u", "rank_biserial", "p_value")
 
 
 def signed_rank_tests(pairs: DataFrame, strata: Sequence[str], difference: str) -> DataFrame:
